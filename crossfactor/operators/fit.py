@@ -58,6 +58,11 @@ class FitTables:
     cols: DataFrame
     extra: dict = field(default_factory=dict)
 
+    @property
+    def has_large(self) -> bool:
+        """Whether some matrix was too large for one task, so that its vectors need the spread forms."""
+        return "large" in self.extra
+
 
 # ------------------------------------------------------------------ the kernel
 class _Axis:
@@ -538,13 +543,16 @@ def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, fo
         cells = collapse(obs)
     cells = keep(cells)
     if form == "relational":
-        return fit_relational(cells, opt)
+        tables = fit_relational(cells, opt)
+        tables.extra["large"] = cells.select(*key_columns(cells)).distinct()
+        return tables
     small, large = (cells, None) if form == "grouped" else split_by_size(cells, opt.group_max_cells)
     blocks = small.withColumn("ys", F.array("value")).withColumn("rep0", F.col("replicate"))
     tables = tables_from_blocks(keep(fit_blocks(blocks, opt, factors=True)), opt)
-    if large is None:
-        return tables
-    return merge(tables, fit_relational(large, opt.relational()))
+    if large is not None:
+        tables = merge(tables, fit_relational(large, opt.relational()))
+        tables.extra["large"] = large.select(*key_columns(large)).distinct()
+    return tables
 
 
 def merge(a: FitTables, b: FitTables) -> FitTables:

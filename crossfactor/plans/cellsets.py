@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crossfactor.functions.noise import hashed_uniform
 from crossfactor.operators.cells import index_labels, mean_cells, merge_moments, moments
+from crossfactor.session import keep
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def indexed(cells: DataFrame) -> DataFrame:
+    """Cells with label positions. Kept, because labels, fits, null draws and reports all read them again."""
+    return keep(index_labels(keep(cells)))
+
+
 def order_value_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation x market segment, mean order value. Orders shrink to one row per customer before any join."""
     orders = table(spark, sf_dir, "orders")
@@ -24,7 +30,7 @@ def order_value_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("orders").alias("matrix_id"), F.col("n_name").alias("row_label"), F.col("c_mktsegment").alias("col_label"),
         "n", "s1", "s2",
     )
-    return index_labels(mean_cells(named))
+    return indexed(mean_cells(named))
 
 
 def revenue_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def revenue_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("lines").alias("matrix_id"), F.col("n_name").alias("row_label"), F.col("p_brand").alias("col_label"),
         "n", "s1", "s2",
     )
-    return index_labels(mean_cells(named))
+    return indexed(mean_cells(named))
 
 
 def priority_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +62,7 @@ def priority_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("matrix_id"), F.col("n_name").alias("row_label"),
         F.format_string("year=%d", F.col("yr")).alias("col_label"), "n", "s1", "s2",
     )
-    return index_labels(mean_cells(named))
+    return indexed(mean_cells(named))
 
 
 def line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +89,7 @@ def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("year=%d", F.year("l_shipdate")).alias("col_label"),
         revenue.alias("x"),
     )
-    return index_labels(mean_cells(moments(named, ["matrix_id", "row_label", "col_label"], F.col("x")), min_count=3))
+    return indexed(mean_cells(moments(named, ["matrix_id", "row_label", "col_label"], F.col("x")), min_count=3))
 
 
 def event_curves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fits"]
+MODULES = ["fits", "modes"]
 
 
 def entries() -> dict:

@@ -540,15 +540,14 @@ def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, fo
             F.lit(1).cast("long").alias("n_dup"), F.lit(0.0).alias("within_chi2"),
         )
     else:
-        cells = collapse(obs)
-    cells = keep(cells)
+        cells = keep(collapse(obs))
     if form == "relational":
         tables = fit_relational(cells, opt)
         tables.extra["large"] = cells.select(*key_columns(cells)).distinct()
         return tables
     small, large = (cells, None) if form == "grouped" else split_by_size(cells, opt.group_max_cells)
     blocks = small.withColumn("ys", F.array("value")).withColumn("rep0", F.col("replicate"))
-    tables = tables_from_blocks(keep(fit_blocks(blocks, opt, factors=True)), opt)
+    tables = tables_from_blocks(cut(fit_blocks(blocks, opt, factors=True)), opt)
     if large is not None:
         tables = merge(tables, fit_relational(large, opt.relational()))
         tables.extra["large"] = large.select(*key_columns(large)).distinct()
@@ -576,7 +575,7 @@ def multistart(obs: DataFrame, n_starts: int, seed: int = 42, opt: FitOptions =
         .withColumn("rep0", F.col("replicate"))
     )
     small, large = split_by_size(keep(many), opt.group_max_cells)
-    tables = tables_from_blocks(keep(fit_blocks(small, opt, factors=True, starts=True)), opt)
+    tables = tables_from_blocks(cut(fit_blocks(small, opt, factors=True, starts=True)), opt)
     return tables if large is None else merge(tables, fit_relational(large, opt.relational(), starts=True))
 
 

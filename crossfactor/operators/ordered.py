@@ -60,11 +60,18 @@ def value_positions(df: DataFrame, by: list[str], value: str, bucket: Column | N
     )
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Join every row with the mean rank of its value inside its group (ties share it)."""
+def average_ranks(df: DataFrame, by: list[str], value: str, spread: bool = False) -> DataFrame:
+    """Add ``rank``, the mean position of the value inside its group (ties share it).
+
+    The default sorts each group in one task, which suits vectors; ``spread`` ranks distinct values and joins them back.
+    """
+    if not spread:
+        same = Window.partitionBy(*by, value)
+        first = F.rank().over(Window.partitionBy(*by).orderBy(value))
+        return df.withColumn("rank", first + (F.count(F.lit(1)).over(same) - 1) / 2)
     pos = value_positions(df, by, value)
     rank = F.col("n_le") - (F.col("n_eq") - 1) / 2
-    return df.join(pos.select(*by, value, rank.alias("rank"), F.col("n").alias("group_n")), [*by, value])
+    return df.join(pos.select(*by, value, rank.alias("rank")), [*by, value])
 
 
 def modal_value(df: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:

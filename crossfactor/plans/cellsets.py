@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crossfactor.functions.noise import hashed_uniform
 from crossfactor.operators.cells import index_labels, mean_cells, merge_moments, moments
-from crossfactor.session import keep
+from crossfactor.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def indexed(cells: DataFrame) -> DataFrame:
-    """Cells with label positions. Kept, because labels, fits, null draws and reports all read them again."""
-    return keep(index_labels(keep(cells)))
+    """Cells with label positions, stored: labels, fits, null draws and reports all read them again, and facts must be
+    scanned once. There is one row per cell, however many facts there are."""
+    return cut(index_labels(cells))
 
 
 def order_value_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

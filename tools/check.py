@@ -32,6 +32,9 @@ def duck(sf_dir: str):
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def _canon(v):
     if isinstance(v, bool) or v is None:
         return v
@@ -45,13 +48,17 @@ def _canon(v):
 def compare(df, con, sql: str) -> str:
     """'' when both sides agree, else what differs."""
     cols = sorted(df.columns)
+    t0 = time.time()
     ours = [tuple(_canon(r[c]) for c in cols) for r in df.collect()]
+    TIMES["spark"] = time.time() - t0
+    t0 = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     if sorted(names) != cols:
         return f"columns {cols} vs {sorted(names)}"
     order = [names.index(c) for c in cols]
     theirs = [tuple(_canon(r[i]) for i in order) for r in cur.fetchall()]
+    TIMES["sql"] = time.time() - t0
     if len(ours) != len(theirs):
         return f"rows {len(ours)} vs {len(theirs)}"
     key = lambda r: tuple((x is None, str(type(x)), x) for x in r)
@@ -77,8 +84,10 @@ def main() -> None:
         if args and name not in args:
             continue
         t0 = time.time()
+        TIMES.clear()
         try:
             df = fn(spark, sf)
+            TIMES["build"] = time.time() - t0
             if name in sqls:
                 msg = compare(df, con, sqls[name])
             else:
@@ -89,7 +98,7 @@ def main() -> None:
             msg = f"{type(e).__name__}: {str(e)[:1500]}"
         spark.catalog.clearCache()
         bad += bool(msg)
-        print(f"{'FAIL' if msg else 'ok  '} {time.time() - t0:6.1f}s {name} {msg}", flush=True)
+        print(f"{'FAIL' if msg else 'ok  '} {time.time() - t0:6.1f}s {name} {' '.join(f'{k}={v:.1f}' for k, v in TIMES.items())} {msg}", flush=True)
     print("failures:", bad)
 
 

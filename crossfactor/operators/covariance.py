@@ -85,7 +85,7 @@ def _long(matrix_id: str, ids: np.ndarray, m: np.ndarray) -> pd.DataFrame:
 
 
 def _bounded(cov: DataFrame, limit: int, what: str) -> DataFrame:
-    small, large = split_by_size(keep(cov), limit)
+    small, large, _ = split_by_size(keep(cov), limit)
     if large is not None:
         raise ValueError(f"{what} needs at most {limit} covariance entries per matrix; use blocks of observations")
     return small

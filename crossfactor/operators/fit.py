@@ -2,8 +2,8 @@
 
 Two physical forms share one contract and give the same numbers for the same options:
 
-* grouped - one task per (matrix, preset, start, block of replicates); for matrices whose cell count is at most
-  ``group_max_cells``. Rounds cost no shuffle.
+* grouped - many small matrices and blocks of replicates per task, each as a small dense array; for matrices whose
+  rows x columns are at most ``group_max_cells``. Rounds cost no shuffle.
 * relational - joins and aggregations per half-step; for matrices of any size. A round shuffles factor vectors and
   partial sums only, because the cells are kept twice, laid out by row and by column, with hot rows or columns salted.
 
@@ -38,8 +38,8 @@ class FitOptions:
     start_rounds: int = 20
     rank: int = 2
     ndof: str = "reference"  # or "free": do not count the four gauge directions of rank two
-    group_max_cells: int = 100_000
-    block_values: int = 1_000_000
+    group_max_cells: int = 1_000_000
+    block_values: int = 100_000
     salt: int = 8
 
     def relational(self) -> "FitOptions":
@@ -65,66 +65,55 @@ class FitTables:
 
 
 # ------------------------------------------------------------------ the kernel
-class _Axis:
-    """Sums over one axis of the observed cells, for all replicates of a block at once."""
-
-    def __init__(self, labels: np.ndarray):
-        self.labels, self.pos = np.unique(labels, return_inverse=True)
-        self.order = np.argsort(self.pos, kind="stable")
-        self.starts = np.searchsorted(self.pos[self.order], np.arange(len(self.labels)))
+# Arrays are (replicates of all matrices in the batch) x rows x columns; a missing cell has weight and value zero.
+def _solve(w: np.ndarray, wy: np.ndarray, x: np.ndarray, ridge: float) -> np.ndarray:
+    """Row factors that minimise the weighted squares given column factors ``x`` (replicates x columns x rank)."""
+    p = wy @ x
+    if x.shape[-1] == 1:
+        return p / (w @ (x * x) + ridge)
+    m = w @ np.stack([x[..., 0] ** 2, x[..., 0] * x[..., 1], x[..., 1] ** 2], axis=-1)
+    a, c, d = m[..., 0] + ridge, m[..., 1], m[..., 2] + ridge
+    det = a * d - c * c
+    return np.stack([(p[..., 0] * d - p[..., 1] * c) / det, (p[..., 1] * a - p[..., 0] * c) / det], axis=-1)
 
-    def sum(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x[..., self.order], self.starts, axis=-1)
 
+def _product(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return u @ np.swapaxes(v, 1, 2)
 
-def _solve1(axis: _Axis, x: np.ndarray, w: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    wx = w * x[..., 0]
-    return (axis.sum(wx * y) / (axis.sum(wx * x[..., 0]) + ridge))[..., None]
 
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1.0)
 
-def _solve2(axis: _Axis, x: np.ndarray, w: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    w1, w2 = w * x[..., 0], w * x[..., 1]
-    a, d = axis.sum(w1 * x[..., 0]) + ridge, axis.sum(w2 * x[..., 1]) + ridge
-    c, p, q = axis.sum(w1 * x[..., 1]), axis.sum(w1 * y), axis.sum(w2 * y)
-    det = a * d - c * c
-    return np.stack([(p * d - q * c) / det, (q * a - p * c) / det], axis=-1)
 
-
-def _leading(rows: _Axis, cols: _Axis, y: np.ndarray, v: np.ndarray, rounds: int) -> np.ndarray:
+def _leading(y: np.ndarray, v: np.ndarray, rounds: int) -> np.ndarray:
     """Power iteration for the leading right vector of the zero-filled matrix."""
+    v = v[..., None]
     for _ in range(rounds):
-        u = rows.sum(y * v[:, cols.pos])
-        new = cols.sum(y * u[:, rows.pos])
-        norm = np.linalg.norm(new, axis=1, keepdims=True)
-        v = np.where(norm > 0, new / np.where(norm > 0, norm, 1), v)
-    return v
+        v = _unit_rows(np.swapaxes(y, 1, 2) @ (y @ v))
+    return v[..., 0]
 
 
-def _alternate(rows: _Axis, cols: _Axis, w: np.ndarray, y: np.ndarray, v: np.ndarray, opt: FitOptions):
+def _alternate(w: np.ndarray, y: np.ndarray, v: np.ndarray, opt: FitOptions):
     """Alternate until the cost settles; replicates that have settled leave the batch."""
-    solve = _solve1 if v.shape[-1] == 1 else _solve2
     n_rep = len(y)
-    u_all, v_all = np.zeros((n_rep, len(rows.labels), v.shape[-1])), v.copy()
+    u_all, v_all = np.zeros((n_rep, y.shape[1], v.shape[-1])), v.copy()
     n_iter, done = np.zeros(n_rep, int), np.zeros(n_rep, bool)
-    live, prev, yl, vl = np.arange(n_rep), np.full(n_rep, np.inf), y, v
+    live, prev, wy = np.arange(n_rep), np.full(n_rep, np.inf), w * y
     for it in range(1, opt.max_iter + 1):
-        ul = solve(rows, vl[:, cols.pos], w, yl, opt.ridge)
-        vl = solve(cols, ul[:, rows.pos], w, yl, opt.ridge)
-        res = yl - np.einsum("rnk,rnk->rn", ul[:, rows.pos], vl[:, cols.pos])
-        cost = np.sum(w * res * res, axis=1)
+        u = _solve(w, wy, v, opt.ridge)
+        v = _solve(np.swapaxes(w, 1, 2), np.swapaxes(wy, 1, 2), u, opt.ridge)
+        res = y - _product(u, v)
+        cost = np.einsum("rij,rij,rij->r", w, res, res)
         settled = np.abs(prev - cost) < opt.tol * np.maximum(1.0, np.abs(cost))
-        if it == opt.max_iter:
-            leave = np.ones(len(live), bool)
-        else:
-            leave = settled
+        leave = settled | (it == opt.max_iter)
+        prev = cost
         if leave.any():
-            gone = live[leave]
-            u_all[gone], v_all[gone], n_iter[gone], done[gone] = ul[leave], vl[leave], it, settled[leave]
-            stay = ~leave
-            live, yl, vl, cost = live[stay], yl[stay], vl[stay], cost[stay]
+            gone, stay = live[leave], ~leave
+            u_all[gone], v_all[gone], n_iter[gone], done[gone] = u[leave], v[leave], it, settled[leave]
+            live, y, v, w, wy, prev = live[stay], y[stay], v[stay], w[stay], wy[stay], prev[stay]
             if not len(live):
                 break
-        prev = cost
     return u_all, v_all, n_iter, done
 
 
@@ -132,68 +121,107 @@ def _canonical(u: np.ndarray, v: np.ndarray):
     """Orthonormal columns of v in singular order; the largest entry of each column positive, lowest index on ties."""
     q, r = np.linalg.qr(v)
     b, s, wt = np.linalg.svd(u @ np.swapaxes(r, 1, 2), full_matrices=False)
-    v, u = q @ np.swapaxes(wt, 1, 2), b * s[:, None, :]
-    peak = np.take_along_axis(v, np.argmax(np.abs(v), axis=1)[:, None, :], axis=1)
+    nu, nv = np.zeros_like(u), np.zeros_like(v)  # a single row or column has no second component
+    nu[..., : s.shape[1]] = b * s[:, None, :]
+    nv[..., : s.shape[1]] = q @ np.swapaxes(wt, 1, 2)
+    peak = np.take_along_axis(nv, np.argmax(np.abs(nv), axis=1)[:, None, :], axis=1)
     sign = np.where(peak < 0, -1.0, 1.0)
-    return u * sign, v * sign
-
-
-def _fit_block(pdf: pd.DataFrame, keys: list[str], opt: FitOptions, factors: bool, starts: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["row_idx", "col_idx"], kind="stable")
-    rows, cols = _Axis(pdf["row_idx"].to_numpy()), _Axis(pdf["col_idx"].to_numpy())
-    y = np.stack(pdf["ys"].to_numpy()).T.astype(float)
-    err = pdf["total_err"].to_numpy(float)
-    scale = np.sqrt(np.mean(y * y, axis=1, keepdims=True))
-    scale[scale == 0] = 1.0
-    ys = y / scale
-    e = err[None, :] / scale
-    w = 1.0 / (e * e + opt.ridge)
-    n_rep, n_cols = len(y), len(cols.labels)
-    within, n_obs = float(pdf["within_chi2"].sum()), int(pdf["n_dup"].sum())
+    return nu * sign, nv * sign
+
+
+class _Item:
+    """One matrix of a task with its block of replicates; rows and columns renumbered from 0."""
+
+    def __init__(self, key: tuple, part: pd.DataFrame, starts: bool):
+        part = part.sort_values(["row_idx", "col_idx"], kind="stable")
+        self.key, self.rep0 = key, int(part["rep0"].iloc[0])
+        self.rows, self.r = np.unique(part["row_idx"].to_numpy(), return_inverse=True)
+        self.cols, self.c = np.unique(part["col_idx"].to_numpy(), return_inverse=True)
+        self.shape = (len(self.rows), len(self.cols))
+        self.y = np.stack(part["ys"].to_numpy()).T.astype(float)
+        self.err = part["total_err"].to_numpy(float)
+        self.within, self.n_obs = float(part["within_chi2"].sum()), int(part["n_dup"].sum())
+        first = np.unique(self.c, return_index=True)[1]
+        self.starts = [part[s].to_numpy(float)[first] for s in ("s1", "s2")] if starts else None
+
+
+def _batches(items: list[_Item], room: int = 2_000_000) -> list[list[_Item]]:
+    """Matrices of equal shape together, up to a number of array elements."""
+    by_shape: dict[tuple, list[_Item]] = {}
+    for it in items:
+        by_shape.setdefault(it.shape, []).append(it)
+    out = []
+    for (n_rows, n_cols), group in by_shape.items():
+        used = room
+        for it in group:
+            if used + len(it.y) * n_rows * n_cols > room:
+                out.append([])
+                used = 0
+            out[-1].append(it)
+            used += len(it.y) * n_rows * n_cols
+    return out
 
-    def first_per_col(name: str) -> np.ndarray:
-        return pdf[name].to_numpy(float)[cols.order][cols.starts]
 
-    if starts:
-        v = np.tile(first_per_col("s1"), (n_rep, 1))
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
+def _fit_batch(items: list[_Item], keys: list[str], opt: FitOptions, factors: bool) -> pd.DataFrame:
+    """Fit all replicates of all matrices of one shape."""
+    n_rows, n_cols = items[0].shape
+    size = [len(it.y) for it in items]
+    y = np.zeros((sum(size), n_rows, n_cols))
+    w, wc, at, scales = np.zeros_like(y), np.zeros_like(y), 0, []
+    for it, k in zip(items, size):
+        scale = np.sqrt(np.mean(it.y * it.y, axis=1, keepdims=True))
+        scale[scale == 0] = 1.0
+        e = it.err[None, :] / scale
+        y[at : at + k, it.r, it.c] = it.y / scale
+        w[at : at + k, it.r, it.c], wc[at : at + k, it.r, it.c] = 1.0 / (e * e + opt.ridge), 1.0 / (e * e)
+        scales.append(scale)
+        at += k
+    scale = np.concatenate(scales)
+    per_item = lambda f: np.repeat([f(it) for it in items], size, axis=0)
+    out = {k: [x for it, n in zip(items, size) for x in [it.key[i]] * n] for i, k in enumerate(keys)}
+    out["replicate"] = np.concatenate([it.rep0 + np.arange(n) for it, n in zip(items, size)])
+    out["n_obs"], out["n_rows"], out["n_cols"] = per_item(lambda it: it.n_obs), n_rows, n_cols
+    within, given = per_item(lambda it: it.within), items[0].starts is not None
+    if given:
+        first = _unit_rows(per_item(lambda it: it.starts[0]))
     else:
-        v = _leading(rows, cols, ys, np.ones((n_rep, n_cols)), opt.start_rounds)
-    out = {k: [pdf[k].iloc[0]] * n_rep for k in keys if k != "replicate"}
-    out["replicate"] = int(pdf["rep0"].iloc[0]) + np.arange(n_rep)
-    out["n_obs"], out["n_rows"], out["n_cols"] = n_obs, len(rows.labels), n_cols
-    x = v[..., None]
+        first = _leading(y, np.ones((len(y), n_cols)), opt.start_rounds)
+    x = first[..., None]
     for rank in range(1, opt.rank + 1):
         if rank == 2:
-            if starts:
-                second = np.tile(first_per_col("s2"), (n_rep, 1))
+            if given:
+                second, lead = per_item(lambda it: it.starts[1]), first[..., None]
             else:
-                res = ys - np.einsum("rnk,rnk->rn", u[:, rows.pos], x[:, cols.pos])
-                second = np.tile(np.sin(1.0 + cols.labels), (n_rep, 1))
-                second = _leading(rows, cols, res, second, opt.start_rounds)
-            second /= np.linalg.norm(second, axis=1, keepdims=True)
-            x = np.concatenate([x if not starts else v[..., None], second[..., None]], axis=-1)
-        u, x, n_iter, done = _alternate(rows, cols, w, ys, x, opt)
+                res = np.where(w > 0, y - _product(u, x), 0.0)
+                second, lead = _leading(res, per_item(lambda it: np.sin(1.0 + it.cols)), opt.start_rounds), x
+            x = np.concatenate([lead, _unit_rows(second)[..., None]], axis=-1)
+        u, x, n_iter, done = _alternate(w, y, x, opt)
         if rank == 1:
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             norm[norm == 0] = 1.0
             x, u = x / norm, u * norm
-        pred = np.einsum("rnk,rnk->rn", u[:, rows.pos], x[:, cols.pos])
-        chi2 = np.sum(((ys - pred) / e) ** 2, axis=1) + within
-        out[f"chi2_rank{rank}"], out[f"n_iter_rank{rank}"], out[f"converged_rank{rank}"] = chi2, n_iter, done
+        res = y - _product(u, x)
+        out[f"chi2_rank{rank}"] = np.einsum("rij,rij,rij->r", wc, res, res) + within
+        out[f"n_iter_rank{rank}"], out[f"converged_rank{rank}"] = n_iter, done
         if factors:
             fu, fv = (u, x) if rank == 1 else _canonical(u, x)
             fu = fu * scale[..., None]
             for k in range(rank):
                 out[f"u{rank}{k + 1}"], out[f"v{rank}{k + 1}"] = list(fu[..., k]), list(fv[..., k])
     if factors:
-        out["row_ids"] = [rows.labels.astype(np.int32)] * n_rep
-        out["col_ids"] = [cols.labels.astype(np.int32)] * n_rep
+        for name, ids in (("row_ids", "rows"), ("col_ids", "cols")):
+            out[name] = [a for it, n in zip(items, size) for a in [getattr(it, ids).astype(np.int32)] * n]
     return pd.DataFrame(out)
 
 
+def _fit_task(pdf: pd.DataFrame, keys: list[str], opt: FitOptions, factors: bool, starts: bool) -> pd.DataFrame:
+    groups = pdf.groupby([*keys, "rep0"], sort=False, dropna=False)
+    items = [_Item(key[:-1], part, starts) for key, part in groups]
+    return pd.concat([_fit_batch(b, keys, opt, factors) for b in _batches(items)], ignore_index=True)
+
+
 def _block_schema(df: DataFrame, keys: list[str], opt: FitOptions, factors: bool) -> T.StructType:
-    fields = [df.schema[k] for k in keys if k != "replicate"] + [T.StructField("replicate", T.LongType())]
+    fields = [df.schema[k] for k in keys] + [T.StructField("replicate", T.LongType())]
     fields += [T.StructField(c, T.LongType()) for c in ("n_obs", "n_rows", "n_cols")]
     arr = T.ArrayType(T.DoubleType())
     for rank in range(1, opt.rank + 1):
@@ -211,17 +239,32 @@ def _block_schema(df: DataFrame, keys: list[str], opt: FitOptions, factors: bool
     return T.StructType(fields)
 
 
-def fit_blocks(cells: DataFrame, opt: FitOptions, factors: bool, starts: bool = False) -> DataFrame:
-    """Grouped form. ``cells`` carries ``ys`` (values of consecutive replicates) and ``rep0`` (number of the first)."""
+def fit_blocks(
+    cells: DataFrame, opt: FitOptions, factors: bool, n_values: int, values: Column | None = None, starts: bool = False
+) -> DataFrame:
+    """Grouped form. ``values`` gives the values of consecutive replicates as an array (default: the one observed value)
+    and is evaluated after the rows have been spread; ``rep0`` is the number of the first replicate.
+
+    Matrices and blocks are hashed into enough groups that one holds about ``block_values`` of the ``n_values`` numbers,
+    so that many small matrices share a task and its vector operations.
+    """
     keys = [k for k in key_columns(cells) if k != "replicate"]
-    need = [*keys, "rep0", "row_idx", "col_idx", "total_err", "ys", "n_dup", "within_chi2"]
+    spark = cells.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    groups = max(2 * cores, -(-n_values // opt.block_values))
+    tasks = min(groups, max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    need = [*keys, "rep0", "row_idx", "col_idx", "total_err", "n_dup", "within_chi2"]
     need += ["s1", "s2"] if starts else []
-    schema = _block_schema(cells, [*keys, "replicate"], opt, factors)
+    schema = _block_schema(cells, keys, opt, factors)
+    group = F.pmod(F.xxhash64(*keys, "rep0"), F.lit(groups))
+    values = values if values is not None else F.array("value")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fit_block(pdf, [*keys, "replicate"], opt, factors, starts)
+        return _fit_task(pdf, keys, opt, factors, starts)
 
-    return cells.select(*need).groupBy(*keys, "rep0").applyInPandas(run, schema)
+    # the count is explicit because these rows are few and costly: partitions must not be merged by their bytes
+    spread = cells.withColumn("_group", group).repartition(tasks, "_group")
+    return spread.select(*need, values.alias("ys"), "_group").groupBy("_group").applyInPandas(run, schema)
 
 
 # --------------------------------------------------------------- result tables
@@ -359,25 +402,26 @@ def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOption
         back = layout.half_step(rows, "row_idx", "col_idx", un, [syy])
         back = back.select("*", *_solution(vn, opt.ridge))
         cols = cut(back.select(*keys, "col_idx", *vn, _cost_share(vn).alias("share")))
+        last = it == opt.max_iter
+        if opt.tol == 0 and not last:
+            continue
         new = cols.groupBy(*keys).agg(F.sum("share").alias("new_cost")).join(status, keys)
         settled = F.abs(F.col("cost") - F.col("new_cost")) < opt.tol * F.greatest(F.lit(1.0), F.abs("new_cost"))
         status = cut(new.select(*keys, F.col("new_cost").alias("cost"), settled.alias("settled")))
-        last = it == opt.max_iter
         leave = status.filter(F.lit(last) | F.col("settled"))
-        if opt.tol > 0 or last:
-            n_leave, n_all = leave.count(), status.count()
-            if n_leave:
-                gone = leave.select(*keys)
-                done_rows.append(rows.join(gone, keys, "left_semi"))
-                done_cols.append(cols.drop("share").join(gone, keys, "left_semi"))
-                done_status.append(
-                    leave.select(*keys, F.lit(it).cast("long").alias("n_iter"), F.col("settled").alias("converged"))
-                )
-            if n_leave == n_all:
-                break
-            if n_leave:
-                cols = cols.join(leave.select(*keys), keys, "left_anti")
-        status = status.filter(~F.col("settled") | F.lit(opt.tol == 0)).drop("settled")
+        n_leave, n_all = status.agg(F.count_if(F.lit(last) | F.col("settled")), F.count(F.lit(1))).first()
+        if n_leave:
+            gone = leave.select(*keys)
+            done_rows.append(rows.join(gone, keys, "left_semi"))
+            done_cols.append(cols.drop("share").join(gone, keys, "left_semi"))
+            done_status.append(
+                leave.select(*keys, F.lit(it).cast("long").alias("n_iter"), F.col("settled").alias("converged"))
+            )
+        if n_leave == n_all:
+            break
+        if n_leave:
+            cols = cols.join(leave.select(*keys), keys, "left_anti")
+        status = status.filter(~F.col("settled")).drop("settled")
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -517,18 +561,26 @@ def _with_replicate(df: DataFrame) -> DataFrame:
     return df if "replicate" in df.columns else df.withColumn("replicate", F.lit(-1).cast("long"))
 
 
-def split_by_size(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Cells of the keys that fit one task, and those of the keys that do not.
+def split_by_size(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Cells of the keys that fit one task, those of the keys that do not, and the array elements of the former.
 
-    Only the keys above the limit are brought to the driver, and there are at most (all cells / limit) of them.
+    The size of a matrix is bounded by both the square of its cell count and the span of its indices; a frame without
+    indices counts its rows. Only the keys above the limit come to the driver.
     """
     keys = key_columns(cells)
-    big = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).drop("n")
-    listed = big.limit(10_001).collect()
-    if not listed:
-        return cells, None
-    side = cells.sparkSession.createDataFrame(listed, big.schema) if len(listed) <= 10_000 else big
-    return cells.join(side, keys, "left_anti"), cells.join(side, keys, "left_semi")
+    n, size = F.count(F.lit(1)).cast("double"), F.count(F.lit(1)).cast("double")
+    if "row_idx" in cells.columns:
+        span = lambda c: (F.max(c) - F.min(c) + 1).cast("double")
+        size = F.least(n * n, span("row_idx") * span("col_idx"))
+    sizes = cells.groupBy(*keys).agg(size.alias("size"))
+    fits = F.col("size") <= limit
+    total, n_big = sizes.agg(F.sum(F.when(fits, F.col("size"))), F.count_if(~fits)).first()
+    if not n_big:
+        return cells, None, int(total or 0)
+    big = sizes.filter(~fits).select(*keys)
+    if n_big <= 10_000:
+        big = cells.sparkSession.createDataFrame(big.collect(), big.schema)
+    return cells.join(big, keys, "left_anti"), cells.join(big, keys, "left_semi"), int(total or 0)
 
 
 def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, form: str = "auto") -> FitTables:
@@ -545,9 +597,9 @@ def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, fo
         tables = fit_relational(cells, opt)
         tables.extra["large"] = cells.select(*key_columns(cells)).distinct()
         return tables
-    small, large = (cells, None) if form == "grouped" else split_by_size(cells, opt.group_max_cells)
-    blocks = small.withColumn("ys", F.array("value")).withColumn("rep0", F.col("replicate"))
-    tables = tables_from_blocks(cut(fit_blocks(blocks, opt, factors=True)), opt)
+    small, large, total = split_by_size(cells, opt.group_max_cells if form == "auto" else 2**62)
+    blocks = small.withColumn("rep0", F.col("replicate"))
+    tables = tables_from_blocks(cut(fit_blocks(blocks, opt, True, total)), opt)
     if large is not None:
         tables = merge(tables, fit_relational(large, opt.relational()))
         tables.extra["large"] = large.select(*key_columns(large)).distinct()
@@ -571,11 +623,10 @@ def multistart(obs: DataFrame, n_starts: int, seed: int = 42, opt: FitOptions =
     many = (
         many.withColumn("s1", hashed_normal(*base, "start1"))
         .withColumn("s2", hashed_normal(*base, "start2"))
-        .withColumn("ys", F.array("value"))
         .withColumn("rep0", F.col("replicate"))
     )
-    small, large = split_by_size(keep(many), opt.group_max_cells)
-    tables = tables_from_blocks(cut(fit_blocks(small, opt, factors=True, starts=True)), opt)
+    small, large, total = split_by_size(keep(many), opt.group_max_cells)
+    tables = tables_from_blocks(cut(fit_blocks(small, opt, True, total, starts=True)), opt)
     return tables if large is None else merge(tables, fit_relational(large, opt.relational(), starts=True))
 
 

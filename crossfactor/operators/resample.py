@@ -23,22 +23,23 @@ def pseudo_data(df: DataFrame, pred: str, n: int, seed: int = 42, stream: str =
 
 def pseudo_blocks(
     df: DataFrame, pred: str, n: int, n_cells: str, seed: int = 42, stream: str = "null", block_values: int = 1_000_000
-) -> DataFrame:
-    """The same pseudo-data packed for the grouped fit: one row per cell and *block* of consecutive replicates.
+) -> tuple[DataFrame, Column]:
+    """The same pseudo-data packed for the grouped fit: one row per cell and *block* of consecutive replicates, and the
+    expression that draws the values of a block as an array.
 
-    A block holds at most ``block_values`` numbers over all cells of its matrix, so a matrix with many cells is spread
-    over many tasks, and the replicates of a cell travel as one array instead of one row each.
+    The draw is left to the reader, which spreads the blocks first: noise is then made where it is used and never
+    shuffled. A block holds at most ``block_values`` numbers over all cells of its matrix.
     """
     size = F.greatest(F.lit(1), F.least(F.lit(n), F.floor(F.lit(float(block_values)) / F.col(n_cells)))).cast("long")
     starts = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.col("_size"))
     many = df.drop("replicate").withColumn("_size", size).withColumn("rep0", F.explode(starts))
-    last = F.least(F.col("rep0") + F.col("_size") - 1, F.lit(n - 1).cast("long"))
+    many = many.withColumn("rep1", F.least(F.col("rep0") + F.col("_size") - 1, F.lit(n - 1).cast("long"))).drop("_size")
 
     def draw(b: Column) -> Column:
         z = hashed_normal(*_noise_parts(seed, many, b, stream))
         return F.col(pred) + F.col("total_err") * z
 
-    return many.withColumn("ys", F.transform(F.sequence(F.col("rep0"), last), draw)).drop("_size")
+    return many, F.transform(F.sequence(F.col("rep0"), F.col("rep1")), draw)
 
 
 def inject(df: DataFrame, row_effect: DataFrame, col_effect: DataFrame, seed: int = 12345) -> DataFrame:

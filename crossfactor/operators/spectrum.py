@@ -12,7 +12,7 @@ from crossfactor.schemas import key_columns
 from crossfactor.session import cut, keep
 
 
-def singular_values(obs: DataFrame, k: int, weighted: bool = True, rounds: int = 30, group_max_cells: int = 100_000) -> DataFrame:
+def singular_values(obs: DataFrame, k: int, weighted: bool = True, rounds: int = 30, group_max_cells: int = 1_000_000) -> DataFrame:
     """The ``k`` largest singular values per key as rows (k, s).
 
     Power iteration on the Gram matrix of the columns with deflation: bounded matrices in one task each, larger ones by
@@ -22,7 +22,7 @@ def singular_values(obs: DataFrame, k: int, weighted: bool = True, rounds: int =
     cells = collapse(obs)
     x = F.col("value") / F.col("total_err") if weighted else F.col("value")
     cells = keep(cells.select(*keys, "row_idx", "col_idx", x.alias("x")))
-    small, large = split_by_size(cells, group_max_cells)
+    small, large, _ = split_by_size(cells, group_max_cells)
     schema = T.StructType([small.schema[c] for c in keys] + [T.StructField("k", T.IntegerType()), T.StructField("s", T.DoubleType())])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

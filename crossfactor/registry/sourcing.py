@@ -18,7 +18,7 @@ from crossfactor.sources import files, observations, provenance, published
 def _published(spark, sf):
     """One published table per (priority, nation), written as JSON text from the cells and parsed back."""
     c = cellsets.priority_cells(spark, sf)
-    yr = F.element_at(F.split("col_label", "="), -1)
+    yr, none = F.element_at(F.split("col_label", "="), -1), F.lit(None).cast("double")
     err = F.array(
         F.struct(F.lit("stat").alias("label"), (F.col("total_err") / 1000).alias("symerror"), F.lit(None).cast("struct<plus:double,minus:double>").alias("asymerror")),
         F.struct(
@@ -28,7 +28,8 @@ def _published(spark, sf):
         F.struct(F.lit("other").alias("label"), F.lit(0.5).alias("symerror"), F.lit(None).cast("struct<plus:double,minus:double>").alias("asymerror")),
     )
     item = F.struct(
-        "col_idx", F.struct(yr.alias("value")).alias("x"), F.struct((F.col("col_idx") * 10.0).alias("low"), (F.col("col_idx") * 10.0 + 10.0).alias("high")).alias("b"),
+        "col_idx", F.struct(yr.alias("value"), none.alias("low"), none.alias("high")).alias("x"),
+        F.struct(F.lit(None).cast("string").alias("value"), (F.col("col_idx") * 10.0).alias("low"), (F.col("col_idx") * 10.0 + 10.0).alias("high")).alias("b"),
         F.struct((F.col("value") / 1000).cast("string").alias("value"), err.alias("errors")).alias("y"),
     )
     t = c.groupBy("matrix_id", "row_label").agg(F.array_sort(F.collect_list(item)).alias("v"))
@@ -106,22 +107,31 @@ SELECT CAST(substr(matrix_id, 1, 1) AS BIGINT) AS record_id, count(DISTINCT row_
 
 
 def usable_tables(spark, sf):
-    """Row-style tables of lines: roles found from header names, tables without the roles left out."""
+    """Every order line as a row-style table: roles found from header names, tables without the roles left out."""
     line = cellsets.table(spark, sf, "lineitem")
     v = lambda c: F.struct(F.col(c).cast("string").alias("value"))
-    y = F.struct(F.col("l_extendedprice").cast("string").alias("value"), F.array(F.struct(F.lit("stat").alias("label"), (F.col("l_extendedprice") * 0.02).alias("symerror"))).alias("errors"))
-    t = line.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.array(v("l_quantity"), v("l_discount"), v("l_tax")).alias("x"), F.array(y).alias("y"))).alias("values"))
-    good = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("Q**2", "BETA", "X(NAME=POMERON)", "SIG(C=REDUCED)")])
-    bad = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("A", "B", "C", "D")])
-    t = t.withColumn("headers", F.when(F.col("l_suppkey") % 4 == 0, bad).otherwise(good))
-    out = published.usable_tables(t, ["l_suppkey"], ["stat", "sys"])
+    err = F.struct(
+        F.lit("stat").alias("label"), (F.col("l_extendedprice") * 0.02).alias("symerror"),
+        F.lit(None).cast("struct<plus:double,minus:double>").alias("asymerror"),
+    )
+    y = F.struct(F.col("l_extendedprice").cast("string").alias("value"), F.array(err).alias("errors"))
+    names = lambda *n: F.array(*[F.struct(F.lit(x).alias("name")) for x in n])
+    good, bad = names("Q**2", "BETA", "X(NAME=POMERON)", "SIG(C=REDUCED)"), names("A", "B", "C", "D")
+    by = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"]
+    t = line.select(
+        *by, F.array(F.struct(F.array(v("l_quantity"), v("l_discount"), v("l_tax")).alias("x"), F.array(y).alias("y"))).alias("values"),
+        F.when(F.col("l_suppkey") % 4 == 0, bad).otherwise(good).alias("headers"),
+    )
+    out = published.usable_tables(t, by, ["stat", "sys"])
     return out.groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("Q2"), 2).alias("q2"), F.round(F.sum("beta"), 4).alias("beta"), F.round(F.sum("xP"), 4).alias("xp"), F.round(F.sum("total_err"), 3).alias("err")
     )
 
 
 USABLE = """SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS q2, round(sum(l_discount), 4) AS beta, round(sum(l_tax), 4) AS xp, round(sum(0.02 * l_extendedprice), 3) AS err
-FROM lineitem WHERE l_suppkey % 4 <> 0 AND l_extendedprice > 0 GROUP BY l_suppkey"""
+FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, first_value(l_quantity) OVER w AS l_quantity, first_value(l_discount) OVER w AS l_discount, first_value(l_tax) OVER w AS l_tax,
+ first_value(l_extendedprice) OVER w AS l_extendedprice FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_orderkey, l_linenumber, l_partkey ORDER BY l_extendedprice))
+WHERE l_suppkey % 4 <> 0 AND l_extendedprice > 0 GROUP BY l_suppkey"""
 
 
 def curve_columns(spark, sf):
@@ -152,12 +162,14 @@ SELECT matrix_id, CAST(t AS DOUBLE) AS t, y, round(sqrt(y), 9) AS total_err FROM
 
 
 def observation_json(spark, sf):
-    """Matrices as JSON documents with their covariance, parsed back."""
+    """Matrices as JSON documents with a covariance of their columns, parsed back."""
     c = cellsets.priority_cells(spark, sf).withColumn("seq", F.row_number().over(_order()) - 1)
     obs = observations.complete(c)
-    a = c.select("matrix_id", F.col("seq").cast("long").alias("i"), "row_idx", F.col("total_err").alias("ei"))
-    b = c.select("matrix_id", F.col("seq").cast("long").alias("j"), F.col("row_idx").alias("rj"), F.col("total_err").alias("ej"))
-    cov = a.join(b, "matrix_id").select("matrix_id", "i", "j", F.when(F.col("i") == F.col("j"), F.col("ei") * F.col("ej")).when(F.col("row_idx") == F.col("rj"), 0.1 * F.col("ei") * F.col("ej")).otherwise(0.0).alias("c"))
+    e = c.groupBy("matrix_id", "col_idx").agg(F.max("total_err").alias("e"))
+    a = e.select("matrix_id", F.col("col_idx").cast("long").alias("i"), F.col("e").alias("ei"))
+    b = e.select("matrix_id", F.col("col_idx").cast("long").alias("j"), F.col("e").alias("ej"))
+    rho = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.1)
+    cov = a.join(b, "matrix_id").select("matrix_id", "i", "j", (rho * F.col("ei") * F.col("ej")).alias("c"))
     obs2, cov2 = observations.parse_documents(observations.documents_json(obs, cov))
     n = obs2.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.log("value")), 6).alias("log_total"), F.max("seq").alias("last_seq"))
     m = cov2.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n_cov"), F.round(F.sum(F.col("c") / 1e6), 4).alias("cov_total"))
@@ -171,8 +183,9 @@ def _order():
 
 
 OBS_JSON = s.with_(s.CC) + """, a AS (SELECT matrix_id, count(*) AS n, round(sum(ln(value)), 6) AS log_total, count(*) - 1 AS last_seq FROM cc GROUP BY 1),
-b AS (SELECT x.matrix_id, count(*) AS n_cov, round(sum(CASE WHEN x.row_idx = y.row_idx AND x.col_idx = y.col_idx THEN x.total_err * y.total_err WHEN x.row_idx = y.row_idx THEN 0.1 * x.total_err * y.total_err ELSE 0 END / 1e6), 4) AS cov_total
- FROM cc x JOIN cc y USING (matrix_id) GROUP BY 1) SELECT * FROM a JOIN b USING (matrix_id)"""
+e AS (SELECT matrix_id, col_idx, max(total_err) AS e FROM cc GROUP BY 1, 2),
+b AS (SELECT x.matrix_id, count(*) AS n_cov, round(sum(CASE WHEN x.col_idx = y.col_idx THEN 1.0 ELSE 0.1 END * x.e * y.e / 1e6), 4) AS cov_total FROM e x JOIN e y USING (matrix_id) GROUP BY 1)
+SELECT * FROM a JOIN b USING (matrix_id)"""
 
 
 def observation_roundtrip(spark, sf):
@@ -205,17 +218,17 @@ def checksum_verify(spark, sf):
 
 
 def page_records(spark, sf):
-    """Pages as files of portal records (one record per host): extension filter and total size."""
+    """Every page as a portal record with one file: extension filter and total size per host."""
     p = cellsets.table(spark, sf, "pages")
     f = F.struct(
         F.when(F.col("page_id") % 2 == 0, F.col("url")).alias("key"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"),
         F.length("html").cast("long").alias("size"), F.concat(F.lit("md5:"), F.md5("html")).alias("checksum"), F.col("url").alias("uri"), F.lit("HTML").alias("type"),
     )
     host = F.regexp_extract("url", "://([^/]+)", 1)
-    rec = p.groupBy(host.alias("id")).agg(F.collect_list(f).alias("files"))
+    rec = p.select(F.concat_ws("#", host, F.col("page_id").cast("string")).alias("id"), F.array(f).alias("files"))
     json = F.to_json(F.struct("id", F.struct("files", F.struct(F.array(F.lit("web")).alias("primary"), F.array(F.lit("raw")).alias("secondary")).alias("categories")).alias("metadata")))
     parsed = rec.select(F.from_json(json, FILE_RECORD).alias("r")).select("r.*")
-    all_files = files.record_files(parsed)
+    all_files = files.record_files(parsed).withColumn("record_id", F.substring_index("record_id", "#", 1))
     a = files.total_size(files.files_of_type(all_files, "html"), ["record_id"])
     b = files.files_with_extension(all_files, "html").groupBy("record_id").agg(F.count(F.lit(1)).alias("n_html"))
     return a.join(b, "record_id", "left").fillna({"n_html": 0})

@@ -163,12 +163,12 @@ def correlation_file(spark: SparkSession, path: str, matrix_id: str) -> DataFram
     """A correlation matrix from a JSON file, a list of rows or an object with the list under 'correlation'."""
     body = F.col("value")
     rows = F.coalesce(F.from_json(F.get_json_object(body, "$.correlation"), "array<array<double>>"), F.from_json(body, "array<array<double>>"))
-    d = spark.read.option("wholetext", True).text(path).select(F.posexplode(rows).alias("i", "row"))
+    d = spark.read.text(path, wholetext=True).select(F.posexplode(rows).alias("i", "row"))
     return d.select(F.lit(matrix_id).alias("matrix_id"), F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "c")).withColumn("j", F.col("j").cast("long"))
 
 
 def correlation_csv(spark: SparkSession, path: str, matrix_id: str) -> DataFrame:
     """A correlation matrix from a headerless CSV file; the line number comes from the position inside the file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), "\\R")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\\R")).alias("i", "line"))
     cells = lines.select(F.col("i").cast("long").alias("i"), F.posexplode(F.split("line", ",")).alias("j", "s"))
     return cells.select(F.lit(matrix_id).alias("matrix_id"), "i", F.col("j").cast("long").alias("j"), F.trim("s").try_cast("double").alias("c"))

@@ -171,12 +171,18 @@ def sweep(cells: DataFrame, presets: list[Preset], n_bootstrap: int, seed: int =
     return rank_test(apply_presets(cells, presets), n_bootstrap, seed, opt)
 
 
-def global_significance(observed: DataFrame, null: DataFrame, ok: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Maximum statistic over the presets against the same maximum in each replicate; a failed fit counts as 0."""
+def global_significance(observed: DataFrame, null: DataFrame, ok: Column | None = None, presets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Maximum statistic over the presets against the same maximum in each replicate; a failed fit counts as 0.
+
+    Equal statistics go to the preset listed first (``presets``: preset, ord), else to the first name.
+    """
+    if presets is not None:
+        observed = observed.join(presets.select("preset", "ord"), "preset")
+    tie = [F.col("ord")] if presets is not None else []
     keys = [k for k in ("matrix_id",) if k in null.columns]
     lam = F.coalesce(F.when(ok if ok is not None else F.lit(True), F.col("lambda_stat")), F.lit(0.0))
     t_obs = observed.groupBy(*keys).agg(
-        F.max(lam).alias("lambda_stat"), F.max_by("preset", lam).alias("best_preset"), F.count(F.lit(1)).alias("n_presets")
+        F.max(lam).alias("lambda_stat"), F.min_by("preset", F.struct(-F.round(lam, 9), *tie, F.col("preset"))).alias("best_preset"), F.count(F.lit(1)).alias("n_presets")
     )
     t_null = null.groupBy(*keys, "replicate").agg(F.max(lam).alias("lambda_stat"))
     p = p_values(t_obs, t_null)

@@ -224,13 +224,13 @@ _SLICES = [
     presets.Preset("baseline", "baseline", "all cells", is_fast=True),
     presets.Preset("loo_building", "leave_one_out", "without one segment", exclude_element="BUILDING"),
     presets.Preset("first_rows", "data_subset", "five nations", include_rows=("NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_4")),
-    presets.Preset("well_filled", "kinematic_cut", "cells with at least 30 orders", cuts=(("n_obs_min", 30.0),)),
+    presets.Preset("well_filled", "kinematic_cut", "cells with at least 100 orders", cuts=(("n_obs_min", 100.0),)),
 ]
 _SWEPT = s.cte(
     "sw",
     "SELECT 'baseline' AS preset, 0 AS ord, * FROM ca UNION ALL SELECT 'loo_building', 1, * FROM ca WHERE col_label <> 'BUILDING' "
     "UNION ALL SELECT 'first_rows', 2, * FROM ca WHERE row_label IN ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') "
-    "UNION ALL SELECT 'well_filled', 3, * FROM ca WHERE n_obs >= 30",
+    "UNION ALL SELECT 'well_filled', 3, * FROM ca WHERE n_obs >= 100",
 )
 
 
@@ -271,11 +271,11 @@ FROM b_lam JOIN f_lam USING (matrix_id, preset) GROUP BY matrix_id, preset"""
 
 def global_p(spark, sf):
     t = _sweep(spark, sf)
-    out, _ = presets.global_significance(t.observed.summary, t.null)
+    out, _ = presets.global_significance(t.observed.summary, t.null, presets=presets.preset_table(spark, _SLICES))
     return out.select("matrix_id", "best_preset", "n_presets", "k", F.round("t_obs", 4).alias("t_obs"), F.round("p_global", 9).alias("p_global"))
 
 
-GLOBAL = _sweep_sql() + """, o AS (SELECT matrix_id, max(lambda_stat) AS t, arg_max(preset, lambda_stat) AS best, count(*) AS n FROM f_lam GROUP BY matrix_id),
+GLOBAL = _sweep_sql() + """, o AS (SELECT matrix_id, max(lambda_stat) AS t, arg_min(preset, (-round(lambda_stat, 9), CASE preset WHEN 'baseline' THEN 0 WHEN 'loo_building' THEN 1 WHEN 'first_rows' THEN 2 ELSE 3 END)) AS best, count(*) AS n FROM f_lam GROUP BY matrix_id),
 z AS (SELECT matrix_id, replicate, max(lambda_stat) AS t FROM b_lam GROUP BY matrix_id, replicate)
 SELECT matrix_id, any_value(best) AS best_preset, any_value(n) AS n_presets, count(*) FILTER (z.t >= o.t) AS k, round(any_value(o.t), 4) AS t_obs,
  round((count(*) FILTER (z.t >= o.t) + 1.0) / (count(*) + 1.0), 9) AS p_global FROM z JOIN o USING (matrix_id) GROUP BY matrix_id"""

@@ -392,7 +392,7 @@ CATALOGUE = s.with_(s.CA) + """
 SELECT 'baseline' AS preset, 0 AS ord, 'baseline' AS sweep_type, TRUE AS is_fast, count(*) AS n_cells FROM ca
 UNION ALL SELECT 'loo_building', 1, 'leave_one_out', FALSE, count(*) FROM ca WHERE col_label <> 'BUILDING'
 UNION ALL SELECT 'first_rows', 2, 'data_subset', FALSE, count(*) FROM ca WHERE row_label IN ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3', 'NATION_4')
-UNION ALL SELECT 'well_filled', 3, 'kinematic_cut', FALSE, count(*) FROM ca WHERE n_obs >= 30"""
+UNION ALL SELECT 'well_filled', 3, 'kinematic_cut', FALSE, count(*) FROM ca WHERE n_obs >= 100"""
 
 
 # ------------------------------------------------------------------ end to end

@@ -169,6 +169,7 @@ def correlation_file(spark: SparkSession, path: str, matrix_id: str) -> DataFram
 
 def correlation_csv(spark: SparkSession, path: str, matrix_id: str) -> DataFrame:
     """A correlation matrix from a headerless CSV file; the line number comes from the position inside the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\\R")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\R")).alias("i", "line"))
+    lines = lines.filter(F.length(F.trim("line")) > 0)
     cells = lines.select(F.col("i").cast("long").alias("i"), F.posexplode(F.split("line", ",")).alias("j", "s"))
     return cells.select(F.lit(matrix_id).alias("matrix_id"), "i", F.col("j").cast("long").alias("j"), F.trim("s").try_cast("double").alias("c"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crossfactor.functions.scalars import default_error, finite
 from crossfactor.operators.cells import clean
+from crossfactor.operators.ordered import running
 
 
 def valid_points(curves: DataFrame, min_points: int = 2, err_share: float = 0.05) -> DataFrame:
@@ -48,8 +49,13 @@ def even_grid(ranges: DataFrame, n: int) -> DataFrame:
     )
 
 
-def segments(curves: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+def segments(curves: DataFrame, values: list[str], by: list[str], spread: bool = False) -> DataFrame:
     """Neighbouring knots of each curve as segments ``t0, t1`` with the values at both ends."""
+    if spread:
+        r = running(curves.select(*by, "t", *values), by, [F.col("t")], spread=True)
+        left = r.select(*by, "rn", F.col("t").alias("t0"), *[F.col(v).alias(f"{v}0") for v in values])
+        right = r.select(*by, (F.col("rn") - 1).alias("rn"), F.col("t").alias("t1"), *[F.col(v).alias(f"{v}1") for v in values])
+        return left.join(right, [*by, "rn"]).drop("rn").filter(F.col("t1") > F.col("t0"))
     w = Window.partitionBy(*by).orderBy("t")
     out = curves.select(
         *by, F.col("t").alias("t0"), F.lead("t").over(w).alias("t1"),
@@ -58,19 +64,22 @@ def segments(curves: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     return out.filter(F.col("t1").isNotNull() & (F.col("t1") > F.col("t0")))
 
 
-def interpolate(curves: DataFrame, grid: DataFrame, values: list[str], by: list[str] | None = None, bins: int = 256) -> DataFrame:
+def interpolate(curves: DataFrame, grid: DataFrame, values: list[str], by: list[str] | None = None, bins: int = 256, spread: bool = False) -> DataFrame:
     """Linear interpolation of every curve at every grid point; null outside the curve's own range.
 
-    ``grid`` has ``t`` and ``col_idx`` and any of the ``by`` columns it depends on.
+    ``grid`` has ``t`` and ``col_idx`` and any of the ``by`` columns it depends on; ``spread`` is for curves with more
+    points than one task should sort.
     """
     by = by or ["matrix_id"]
     on = [c for c in by if c in grid.columns]
-    seg = segments(curves, values, by)
+    seg = segments(curves, values, by, spread)
     box = grid.groupBy(*on).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
     box = box.withColumn("_w", F.when(F.col("_b") > F.col("_a"), (F.col("_b") - F.col("_a")) / bins).otherwise(1.0))
 
     def binned(df: DataFrame) -> DataFrame:
-        return df.join(box, on) if on else df.join(F.broadcast(box))  # one row when the grid is common
+        if on:
+            return df.join(box, on)
+        return df.select("*", *[box.select(c).scalar().alias(c) for c in ("_a", "_b", "_w")])
 
     at = lambda c: F.greatest(F.lit(-1), F.least(F.lit(bins), F.floor((c - F.col("_a")) / F.col("_w")).cast("int")))
     seg = binned(seg).withColumn("_bin", F.explode(F.sequence(at(F.col("t0")), at(F.col("t1"))))).drop("_a", "_b", "_w")
@@ -83,7 +92,11 @@ def interpolate(curves: DataFrame, grid: DataFrame, values: list[str], by: list[
     first = F.min_by(F.struct("t", *values), F.col("t0"))
     hit = found.groupBy(*by, "col_idx").agg(first.alias("r")).select(*by, "col_idx", *[F.col(f"r.{v}").alias(v) for v in values])
     curves_ids = curves.select(*by).distinct()
-    every = curves_ids.join(grid, on) if on else curves_ids.join(F.broadcast(grid))  # grid points per curve
+    if on:
+        every = curves_ids.join(grid, on)
+    else:
+        points = grid.agg(F.array_sort(F.collect_list(F.struct("col_idx", "t"))).alias("p")).scalar()
+        every = curves_ids.select(*by, F.inline(points))
     return every.join(hit, [*by, "col_idx"], "left")
 
 

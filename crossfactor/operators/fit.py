@@ -385,7 +385,7 @@ def _unit(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 def _power(layout: _Layout, cols: DataFrame, vec: str, value: str, rounds: int) -> DataFrame:
     for _ in range(rounds):
         u = layout.apply(cols.select(*layout.keys, "col_idx", vec), "col_idx", "row_idx", vec, value, "_u")
-        new = layout.apply(cut(u), "row_idx", "col_idx", "_u", value, vec)
+        new = layout.apply(u, "row_idx", "col_idx", "_u", value, vec)
         cols = cut(_unit(new, layout.keys, vec))
     return cols
 
@@ -396,8 +396,9 @@ def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOption
     done_rows, done_cols, done_status = [], [], []
     status = cols.select(*keys).distinct().withColumn("cost", F.lit(float("inf")))
     for it in range(1, opt.max_iter + 1):
+        # one stored frame per round: row factors follow from the column factors before it and are rebuilt on leaving
         sums = layout.half_step(cols.select(*keys, "col_idx", *vn), "col_idx", "row_idx", vn)
-        rows = cut(sums.select(*keys, "row_idx", *_solution(un, opt.ridge)))
+        rows = sums.select(*keys, "row_idx", *_solution(un, opt.ridge))
         syy = F.sum(F.col("w") * F.col("y") * F.col("y")).alias("syy")
         back = layout.half_step(rows, "row_idx", "col_idx", un, [syy])
         back = back.select("*", *_solution(vn, opt.ridge))

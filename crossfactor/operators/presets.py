@@ -155,9 +155,10 @@ def apply_presets(cells: DataFrame, presets: list[Preset]) -> DataFrame:
     return cells.withColumn("preset", F.explode(F.array_compact(F.array(*tags)))).drop("_points")
 
 
-def empty_presets(summary: DataFrame, matrices: DataFrame, presets: DataFrame) -> DataFrame:
+def empty_presets(summary: DataFrame, matrices: DataFrame, presets: list[Preset]) -> DataFrame:
     """A failed row for every preset that matched no cell of a matrix, so that nothing goes missing silently."""
-    want = matrices.select("matrix_id").distinct().join(F.broadcast(presets.select("preset", "ord")))
+    listed = F.array(*[F.struct(F.lit(p.name).alias("preset"), F.lit(i).alias("ord")) for i, p in enumerate(presets)])
+    want = matrices.select("matrix_id").distinct().select("matrix_id", F.inline(listed))
     return want.join(summary, ["matrix_id", "preset"], "left").withColumn(
         "fit_converged", F.coalesce(F.col("converged_rank1") & F.col("converged_rank2"), F.lit(False))
     )

@@ -55,7 +55,7 @@ def identity_report(results: DataFrame, warnings: DataFrame | None = None, by: l
     g = results.groupBy(*by).agg(F.count(F.lit(1)).alias("n_checks"), F.count_if("passed").alias("n_passed"))
     if warnings is not None:
         w = warnings.groupBy(*by).agg(F.count(F.lit(1)).alias("n_warnings"))
-        g = g.join(w, by, "left") if by else g.join(F.broadcast(w))  # one row each
+        g = g.join(w, by, "left") if by else g.withColumn("n_warnings", w.scalar())
     else:
         g = g.withColumn("n_warnings", F.lit(0))
     g = g.fillna({"n_warnings": 0})

@@ -86,7 +86,7 @@ def mode_analysis(
     stable = cut(mode.stability(base, starts, reps))
     where = cut(mode.localization(base.filter(F.col("axis") == "col").drop("scale", "axis"), spread=tables.has_large))
     peaks = mode.peak(all_modes.filter(F.col("axis") == "col")).select("matrix_id", "preset", F.col("peak_index").alias("v2_peak_index"))
-    sweep_rows = presetops.empty_presets(swept.summary, cells, names)
+    sweep_rows = presetops.empty_presets(swept.summary, cells, presets)
     sweep_rows = cut(sweep_rows.join(peaks, ["matrix_id", "preset"], "left").withColumnRenamed("p_value", "p_local"))
     if opt.tol == 0:
         sweep_rows = sweep_rows.withColumn("fit_converged", F.col("lambda_stat").isNotNull())

@@ -63,8 +63,8 @@ def _priority_modes(spark, sf):
     return m.select("mode_id", "axis", "idx", "val", F.when(F.col("axis") == "col", F.col("idx").cast("double")).alias("grid"))
 
 
-_MODES_SQL = s.with_(s.CC, s.als("cc", ["matrix_id"], 2, 6)) + """, ids AS (SELECT DISTINCT matrix_id AS id FROM cc),
-pr AS (SELECT a.id AS source_a, b.id AS source_b FROM ids a JOIN ids b ON a.id < b.id),
+_MODES_SQL = s.with_(s.CC, s.als("cc", ["matrix_id"], 2, 6)) + """, ids AS (SELECT matrix_id AS id, count(DISTINCT col_idx) AS nv, count(DISTINCT row_idx) AS nu FROM cc GROUP BY 1),
+al AS (SELECT a.id AS source_a, b.id AS source_b, a.nv = b.nv AND a.nu = b.nu AS comparable FROM ids a JOIN ids b ON a.id < b.id), pr AS (SELECT * FROM al WHERE comparable),
 jv AS (SELECT source_a, source_b, x.col_idx AS idx, x.v2 AS a, y.v2 AS b FROM pr JOIN f_vv x ON x.matrix_id = source_a JOIN f_vv y ON y.matrix_id = source_b AND y.col_idx = x.col_idx),
 ju AS (SELECT source_a, source_b, x.u2 AS a, y.u2 AS b FROM pr JOIN f_uu x ON x.matrix_id = source_a JOIN f_uu y ON y.matrix_id = source_b AND y.row_idx = x.row_idx),
 cv AS (SELECT source_a, source_b, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS v, arg_max(idx, (abs(a), -idx)) AS pa, arg_max(idx, (abs(b), -idx)) AS pb, count(*) AS n FROM jv GROUP BY 1, 2),
@@ -84,8 +84,8 @@ def compare_direct(spark, sf):
 
 
 _GRADE = "CASE WHEN score > 0.9 THEN 'excellent' WHEN score > 0.75 THEN 'good' WHEN score > 0.5 THEN 'moderate' ELSE 'poor' END"
-DIRECT = _MODES_SQL + f"""SELECT source_a, source_b, TRUE AS comparable, sign_aligned, pa AS v2_peak_a, pb AS v2_peak_b, {_GRADE} AS replication_grade,
- round(v2_cosine, 4) AS v2_cosine, round(u2_cosine, 4) AS u2_cosine, round(score, 4) AS replication_score FROM cmp"""
+DIRECT = _MODES_SQL + f"""SELECT source_a, source_b, comparable, sign_aligned, pa AS v2_peak_a, pb AS v2_peak_b, CASE WHEN comparable THEN {_GRADE} ELSE 'incompatible' END AS replication_grade,
+ round(v2_cosine, 4) AS v2_cosine, round(u2_cosine, 4) AS u2_cosine, round(score, 4) AS replication_score FROM al LEFT JOIN cmp USING (source_a, source_b)"""
 
 
 def replication_report(spark, sf):
@@ -97,7 +97,7 @@ def replication_report(spark, sf):
     )
 
 
-REPORT = _MODES_SQL + f"""SELECT 'orders' AS dataset, count(*) AS n_comparisons, bool_and({_GRADE} IN ('excellent', 'good')) AS all_replicate,
+REPORT = _MODES_SQL + f"""SELECT 'orders' AS dataset, (SELECT count(*) FROM al) AS n_comparisons, bool_and({_GRADE} IN ('excellent', 'good')) AS all_replicate,
  arg_max(source_a || ' vs ' || source_b, score) AS best_comparison, arg_min(source_a || ' vs ' || source_b, score) AS worst_comparison,
  round(avg(v2_cosine), 4) AS mean_v2_cosine, round(avg(score), 4) AS mean_replication_score FROM cmp"""
 
@@ -346,7 +346,7 @@ def _power_sql(rounds: int) -> list[str]:
     return out
 
 
-SINGULAR = s.with_(s.CC, _power_sql(8)) + """, a AS (SELECT matrix_id, sqrt(max(n)) AS s1 FROM v8 GROUP BY 1), b AS (SELECT matrix_id, sum(x * x) AS f FROM x GROUP BY 1)
+SINGULAR = s.with_(s.CC, _power_sql(24)) + """, a AS (SELECT matrix_id, sqrt(max(n)) AS s1 FROM v24 GROUP BY 1), b AS (SELECT matrix_id, sum(x * x) AS f FROM x GROUP BY 1)
 SELECT matrix_id, round(s1, 4) AS s1, round(sqrt(f), 5) AS frobenius, round(s1 * s1 / f, 6) AS explained FROM a JOIN b USING (matrix_id)"""
 
 

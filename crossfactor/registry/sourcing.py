@@ -251,7 +251,7 @@ def provenance_flags(spark, sf):
     flags = provenance.flags(prov)
     warn = provenance.warnings(prov).groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n_warnings"))
     dois = provenance.distinct_dois(prov).agg(F.count(F.lit(1)).alias("n_dois"))
-    out = flags.join(warn, "matrix_id", "left").join(F.broadcast(dois))  # one row
+    out = flags.join(warn, "matrix_id", "left").withColumn("n_dois", dois.scalar())
     return out.select(
         "matrix_id", "origin", "has_fallbacks", "is_placeholder", F.size("sources").cast("long").alias("n_sources"),
         F.col("selection_filters")[0]["n_before"].alias("n_before"), F.col("selection_filters")[0]["n_after"].alias("n_after"), F.coalesce("n_warnings", F.lit(0)).cast("long").alias("n_warnings"), "n_dois",

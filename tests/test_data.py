@@ -291,3 +291,14 @@ def test_checks(spark, synthetic):
     assert r[("rank1", "data_coverage")] and r[("rank1", "matrix_completeness")]
     o = {x["matrix_id"]: x for x in checks.overall(checks.run_checks([checks.coverage(c), checks.value_ranges(c)]), ["matrix_id"]).collect()}
     assert o["rank1"]["n_checks"] == 6
+
+
+def test_interpolation_of_long_curves(spark):
+    t = np.linspace(1, 50, 400)
+    df = spark.createDataFrame(pd.DataFrame({"matrix_id": "c", "t": t, "y": np.sin(t)}))
+    grid = curves.even_grid(spark.createDataFrame([(0.5, 49.0)], "t_lo double, t_hi double"), 33)
+    for spread in (False, True):
+        got = curves.interpolate(df, grid, ["y"], spread=spread).toPandas().sort_values("col_idx")
+        assert len(got) == 33 and got["y"].isna().tolist()[0]
+        ok = got[got["y"].notna()]
+        assert ok["y"].to_numpy() == pytest.approx(np.interp(ok["t"], t, np.sin(t)))

@@ -41,6 +41,7 @@ class FitOptions:
     group_max_cells: int = 1_000_000
     block_values: int = 100_000
     salt: int = 8
+    relational_rows: int = 2_000_000_000  # pseudo-cells kept at once for matrices in the relational form
 
     def relational(self) -> "FitOptions":
         """Cheaper stopping rule for matrices whose rounds cost shuffles."""
@@ -600,10 +601,18 @@ def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, fo
         return tables
     small, large, total = split_by_size(cells, opt.group_max_cells if form == "auto" else 2**62)
     blocks = small.withColumn("rep0", F.col("replicate"))
-    tables = tables_from_blocks(cut(fit_blocks(blocks, opt, True, total)), opt)
+    tables = tables_from_blocks(cut(fit_blocks(blocks, opt, True, total)), opt) if total else None
+    return _with_large(tables, large, opt)
+
+
+def _with_large(tables: FitTables | None, large: DataFrame | None, opt: FitOptions, starts: bool = False) -> FitTables:
+    """Add the matrices that went through the relational form, and remember which they were."""
     if large is not None:
-        tables = merge(tables, fit_relational(large, opt.relational()))
+        other = fit_relational(large, opt.relational(), starts)
+        tables = other if tables is None else merge(tables, other)
         tables.extra["large"] = large.select(*key_columns(large)).distinct()
+    if tables is None:
+        raise ValueError("no cells to fit")
     return tables
 
 
@@ -627,8 +636,8 @@ def multistart(obs: DataFrame, n_starts: int, seed: int = 42, opt: FitOptions =
         .withColumn("rep0", F.col("replicate"))
     )
     small, large, total = split_by_size(keep(many), opt.group_max_cells)
-    tables = tables_from_blocks(cut(fit_blocks(small, opt, True, total, starts=True)), opt)
-    return tables if large is None else merge(tables, fit_relational(large, opt.relational(), starts=True))
+    tables = tables_from_blocks(cut(fit_blocks(small, opt, True, total, starts=True)), opt) if total else None
+    return _with_large(tables, large, opt, starts=True)
 
 
 # ------------------------------------------------------------------ prediction

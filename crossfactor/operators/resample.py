@@ -13,9 +13,9 @@ def _noise_parts(seed: int, df: DataFrame, replicate: Column, stream: str) -> li
     return [seed, *keys, replicate, F.col("row_idx"), F.col("col_idx"), stream]
 
 
-def pseudo_data(df: DataFrame, pred: str, n: int, seed: int = 42, stream: str = "null") -> DataFrame:
-    """One row per cell and replicate: prediction plus error times hashed normal noise."""
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def pseudo_data(df: DataFrame, pred: str, n: int, seed: int = 42, stream: str = "null", first: int = 0) -> DataFrame:
+    """One row per cell and replicate (``n`` of them from number ``first``): prediction plus error times hashed noise."""
+    numbers = F.sequence(F.lit(first).cast("long"), F.lit(first + n - 1).cast("long"))
     many = df.drop("replicate").withColumn("replicate", F.explode(numbers))
     z = hashed_normal(*_noise_parts(seed, many, F.col("replicate"), stream))
     return many.withColumn("value", F.col(pred) + F.col("total_err") * z)

@@ -142,7 +142,7 @@ def test_null_of_large_keys_matches_grouped(spark, synthetic):
     cells = frame(spark, {"rank1": synthetic["rank1"][:2]})
     opt = dict(max_iter=2, tol=0.0, start_rounds=2)
     small = ranktest.rank_test(cells, 4, opt=FitOptions(**opt))
-    large = ranktest.rank_test(cells, 4, opt=FitOptions(**opt, group_max_cells=4))
+    large = ranktest.rank_test(cells, 4, opt=FitOptions(**opt, group_max_cells=4, relational_rows=60))
     a = {r["replicate"]: r["lambda_stat"] for r in small.null.collect()}
     assert {r["replicate"]: r["lambda_stat"] for r in large.null.collect()} == pytest.approx(a, rel=1e-6)
 

@@ -143,17 +143,15 @@ def usable_tables(tables: DataFrame, by: list[str], keep_names: list[str]) -> Da
     from crossfactor.operators.wrangle import map_roles, resolve_roles
 
     out = None
-    long = row_style(tables, by)
-    listed = tables.select(*by, F.col("headers.name").alias("_names"))
     for row in header_sets(tables, by).collect():
         names = [n for n in row["names"] or [] if n]
-        mine = long.join(listed.filter(F.col("_names") == F.array(*[F.lit(n) for n in row["names"]])).select(*by), by, "left_semi")
         errors = [f"{n}_{e}" for n in names for e in keep_names]
         try:
             resolve_roles(names)
         except ValueError:
             continue
-        wide = mine.groupBy(*by, "pos").pivot("name", [*names, *errors]).agg(F.first("value"))
+        mine = tables.filter(F.col("headers.name") == F.array(*[F.lit(n) for n in row["names"]]))
+        wide = row_style(mine, by).groupBy(*by, "pos").pivot("name", [*names, *errors]).agg(F.first("value"))
         part = map_roles(wide, [*by, "pos"])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,22 @@ def build_session(app: str = "crossfactor", master: str | None = None, shuffle_p
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, which cannot import it from the driver's path on a cluster."""
+    sc = spark.sparkContext
+    name = f"crossfactor-{sc.applicationId}.zip"
+    if any(f.endswith(name) for f in sc.listFiles):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(os.path.join(top, "crossfactor")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), top))
+    sc.addPyFile(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only on a local master."""
     sc = spark.sparkContext

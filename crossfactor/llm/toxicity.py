@@ -24,7 +24,7 @@ TOKENS, SLICE, CACHE = 200_000, 1 << 20, 500_000
 def parts(word: str) -> list[str]:
     """What may mark a word: itself and its beginnings."""
     w = word.lower()
-    return ["w:" + w] + ["p:" + w[:n] for n in (4, 5, 6) if len(w) > n]
+    return ["w:" + w] + ["p:" + w[:n] for n in (4, 5, 6, 7, 8) if len(w) > n]
 
 
 def features(word: str) -> list[int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from crossfactor.llm.tables import table
 
 #: A comment, another declaration, a tag, a run of text, or a lone "<".
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Elements by what they mean for the text.
@@ -24,18 +25,21 @@ SILENT = frozenset("head select option button svg canvas object audio video map
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 APART = frozenset("nav aside form menu dialog fieldset".split())
+CLOSES_ITSELF = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "div": ("p",), "ul": ("p",), "ol": ("p",), "table": ("p",), "section": ("p",), "article": ("p",), "aside": ("p",), "nav": ("p",), "footer": ("p",), "header": ("p",), "form": ("p",), "h1": ("p",), "h2": ("p",), "h3": ("p",), "blockquote": ("p",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of class names, ids and roles that mark what is not the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav rail nav navbar navigation menu "
     "breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations widget widgets pagination pager toolbar search comment comments reply replies respond "
-    "disqus discussion feedback skip masthead copyright legal disclaimer complementary contentinfo tags taglist outbrain taboola".split()
+    "disqus discussion feedback skip masthead copyright legal disclaimer complementary contentinfo tags taglist outbrain taboola trending popular teaser teasers announcement toast".split()
 )
 EDGES = frozenset("header footer".split())
 WHOLE = frozenset("html body main article".split())
 COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
 BOXES = ("container", "wrapper", "wrap", "layout", "page", "content", "body", "inner")
+LEGAL = re.compile(r"©|\(c\)|copyright\b|all rights reserved", re.I)
+FRAMES = ("layout", "page")
 HOLDERS = ("has", "with", "no", "is")
 
 
@@ -80,7 +84,7 @@ def _hints(name: str, attributes: str) -> tuple[bool, bool, bool]:
             if key in ("class", "id", "role"):
                 for one in value.split():
                     p = [x for x in re.split(r"[-_]+", one) if x]
-                    if not p or p[0] in HOLDERS or p[-1].endswith(BOXES) and len(p) > 1 and p[0] not in COMMENTS:
+                    if not p or p[0] in HOLDERS or p[-1].endswith(BOXES) and (p[0] not in BESIDE or p[-1] in FRAMES):
                         continue
                     comments |= bool(COMMENTS.intersection(p))
                     apart |= bool(BESIDE.intersection(p))
@@ -96,6 +100,7 @@ def blocks(page: str | None) -> list[Block]:
     """The page's flat text blocks in page order; broken markup is read as far as it goes."""
     out: list[Block] = []
     stack: list[_Open] = []
+    opened: Counter = Counter()
     run, links, skip = _Run(), 0, ""
     heading = False
 
@@ -130,9 +135,12 @@ def blocks(page: str | None) -> list[Block]:
                 links = max(0, links - 1)
             if name in HEADINGS:
                 heading = False
-            if any(o.name == name for o in stack):
-                while stack.pop().name != name:
-                    pass
+            if opened[name] > 0:
+                while True:
+                    last = stack.pop().name
+                    opened[last] -= 1
+                    if last == name:
+                        break
             continue
         if name == "br" or name in VOID:
             run.parts.append(" ")
@@ -148,16 +156,20 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in HEADINGS:
             heading = True
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].name == name:
-            stack.pop()
+        if name in CLOSES_ITSELF:
+            k = len(stack)
+            while k and stack[k - 1].name in INLINE:
+                k -= 1
+            if k and stack[k - 1].name in CLOSES_ITSELF[name]:
+                opened.subtract(o.name for o in stack[k - 1 :])
+                del stack[k - 1 :]
         apart, edge, hidden = _hints(name, m[3])
         above = stack[-1] if stack else _Open("", False, False, False, False)
         inside = above.inside or name in ("article", "main") and not apart
         # an article's own header belongs to it, a footer never does
         edge = edge and not (inside and name == "header")
         stack.append(_Open(name, above.apart or apart, above.edge or edge, inside, above.silent or hidden or name in SILENT))
-        if name in INLINE:
-            stack[-1].name = name
+        opened[name] += 1
     close()
     return out
 
@@ -169,11 +181,11 @@ def figures(found: list[Block]) -> np.ndarray:
     for i, b in enumerate(found):
         x[i + 1] = min(b.words, 200), b.density
     some = any(b.inside and not b.apart for b in found)
-    place = np.array([[b.apart, b.edge, b.inside, b.heading, some] for b in found], float).reshape(n, 5)
+    place = np.array([[b.apart, b.edge, b.inside, b.heading, some, bool(LEGAL.match(b.text))] for b in found], float).reshape(n, 6)
     return np.concatenate([x[1:-1], x[:-2], x[2:], place], axis=1)
 
 
-FIGURES = "words density words_before density_before words_after density_after apart edge inside heading article".split()
+FIGURES = "words density words_before density_before words_after density_after apart edge inside heading article legal".split()
 
 #: The labelled table: small pages in the usual shapes, each block marked "+" (main text) or "-". ``_`` is a page's text.
 _LONG = "It was late in the year when the first of the boats came back up the river with what was left of the crew and their goods."
@@ -181,14 +193,19 @@ _MORE = "Nobody on the landing knew what to say to them, and so the old harbour
 _LAST = "By the evening most of the town had gone home again."
 _NAV = "<ul><li><a href='/a'>Home</a></li>-<li><a href='/b'>World news</a></li>-<li><a href='/c'>About us</a></li>-</ul>"
 LABELLED = [
-    f"<nav>{_NAV}</nav><div class='ad'>Buy two, pay for one.</div>-<article><h1>The boats</h1>+<p>{_LONG}</p>+<p>{_MORE}</p>+<p>Silence.</p>+</article><footer>All rights reserved 2020.</footer>-",
+    f"<nav>{_NAV}</nav><div class='ad'>Buy two, pay for one.</div>-<article><h1>The boats</h1>+<p>{_LONG}</p>+<p>{_MORE}</p>+<p>Silence.</p>+<p>All rights reserved.</p>+</article><footer>All rights reserved 2020.</footer>-",
     f"<header><a href='/'>The Daily</a></header>-<main><h1>A short title</h1>+<p>{_LONG}</p>+<p>Yes.</p>+<p>{_LAST}</p>+<aside>Read also: ten ways to tie a rope to a post and why it matters.</aside>-</main><div class='sidebar'><p>Most read this week by people like you, our readers.</p>-{_NAV}</div>",
     f"<div id='menu'>{_NAV}</div><div id='content'><h1>River news</h1>+<p>{_LONG}</p>+<p>{_MORE}</p>+<p>{_LAST}</p>+</div><div id='comments'><p>Great story, I was there and saw it all with my own eyes that night!</p>-</div><div id='footer'>Contact us for more.</div>-",
-    f"<table><tr><td>{_NAV}</td><td><h2>Harbour</h2>+<p>{_LONG}</p>+<p>{_MORE}</p>+<p>Rain.</p>+<p>{_LONG}</p>+</td></tr></table>",
-    f"<div><a href='/1'>Login</a> <a href='/2'>Help</a></div>-<div><h1>The names</h1>+<p>{_LONG}</p>+<p>{_MORE} <a href='/x'>More here</a></p>+<p>{_LAST}</p>+</div><div><a href='/p'>Privacy policy</a> <a href='/t'>Terms</a></div>-",
+    f"<table><tr><td>{_NAV}</td><td><h2>Harbour</h2>+<p>{_LONG}</p>+<p>{_MORE}</p>+<p>Rain.</p>+<p>{_LONG}</p>+</td><td><h3>Most read</h3>-{_NAV}</td></tr></table>",
+    f"<div><a href='/1'>Login</a> | <a href='/2'>Help</a></div>-<div><h1>The names</h1>+<p>{_LONG}</p>+<p>{_MORE} <a href='/x'>More here</a></p>+<p>{_LAST}</p>+<h2>The goods</h2>+<p>{_MORE}</p>+</div><div><h4>Legal</h4>-<a href='/p'>Privacy policy</a> <a href='/t'>Terms</a></div>-",
     f"<form><p>Sign up for our letter and never miss a story from the river again.</p>-<label>Mail address</label>-</form><article><p>{_LONG}</p>+<div class='promo'>Advert: boats for sale, cheap.</div>-<p>{_LAST}</p>+<ul><li>First, the names.</li>+<li>Then, the goods.</li>+</ul></article>",
     f"<div class='cookie-notice'>We use cookies to make this site better for all of you who come here.</div>-<article><h1>Why</h1>+<p>So.</p>+</article><section class='comments'><article class='comment'><p>{_MORE}</p>-</article></section>",
-    "<nav><a href='/'>Home</a>-</nav><article></article><footer>Imprint.</footer>-<p>Page not found.</p>-",
+    "<nav><a href='/'>Home</a>-</nav><article></article><footer>Imprint.</footer>-",
+    f"<div><h1>Old news</h1>+<p>{_LONG}</p>+<p>See <a href='/s'>this</a>.</p>+<ul><li>one</li>+<li>two</li>+</ul></div><div>Copyright 1999 Old news.</div>-",
+    f"<div><p>{_LAST}</p>+<p>{_LONG}</p>+<p>Rain.</p>+<p>{_MORE}</p>+</div><div><a href='/t'>Terms</a> <a href='/p'>Privacy</a></div>-",
+    f"<div><h1>The year</h1>+<p>{_LONG}</p>+<p>{_LAST}</p>+</div><div><a href='/t'>Terms of use</a></div>-",
+    f"<div><h1>Rain</h1>+<p>{_MORE}</p>+<p>It rained.</p>+</div>",
+    f"<div><p>{_LONG}</p>+<h2>Goods</h2>+<ul><li>rope</li>+<li>nails</li>+</ul></div>",
 ]
 
 
@@ -217,7 +234,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
         return tree
     gini = lambda v: len(v) * v.mean() * (1 - v.mean()) if len(v) else 0.0
     best = (1e-12, None, 0.0)
-    for k in [6, 7, 8, 9, 10, 0, 1, 2, 3, 4, 5]:
+    for k in [6, 7, 8, 9, 10, 11, 0, 1, 2, 3, 4, 5]:
         values = np.unique(x[:, k])
         for at in (values[1:] + values[:-1]) / 2:
             below = x[:, k] <= at

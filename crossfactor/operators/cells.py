@@ -6,34 +6,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crossfactor.functions.scalars import finite, fit_weight, total_error, weight
 from crossfactor.schemas import key_columns
+from crossfactor.session import cut
 
 
 # ---------------------------------------------------------------- aggregation
 def moments(df: DataFrame, by: list[str | Column], value: Column) -> DataFrame:
-    """Mergeable moments ``(n, s1, s2)`` per group: the small frame that may be joined further and merged again."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.sum(value).alias("s1"), F.sum(value * value).alias("s2")
+    """Mergeable moments ``(n, mean, m2)`` per group, ``m2`` being the squares about the mean: the small frame that may be
+    joined further and merged again. Central moments keep their digits however large the mean is."""
+    n = F.count(value)
+    return df.groupBy(*by).agg(n.alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * n).alias("m2"))
+
+
+def merge_moments(df: DataFrame, by: list[str]) -> DataFrame:
+    """Moments of unions of groups. The partial moments are stored, as they are read for the means and then about them."""
+    df = cut(df.select(*by, "n", "mean", "m2").filter(F.col("n") > 0))
+    n, mean = F.col("n"), F.col("mean")
+    centre = df.groupBy(*by).agg((F.sum(n * mean) / F.sum(n)).alias("_c"))
+    centre = centre.select(*[F.col(b).alias(f"_{b}") for b in by], "_c")
+    on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    off = mean - F.col("_c")
+    return df.join(centre, on).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.max("_c").alias("mean"), F.sum(F.col("m2") + n * off * off).alias("m2")
     )
 
 
-def merge_moments(df: DataFrame, by: list[str | Column]) -> DataFrame:
-    return df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-
-
 def mean_cells(m: DataFrame, min_count: int = 2) -> DataFrame:
     """Moments to cells: value is the mean and the error its standard error."""
-    mean = F.col("s1") / F.col("n")
-    var = F.greatest(F.col("s2") - F.col("s1") * mean, F.lit(0.0)) / (F.col("n") - 1)
-    rest = [c for c in m.columns if c not in ("s1", "s2", "n")]
+    var = F.col("m2") / (F.col("n") - 1)
+    rest = [c for c in m.columns if c not in ("mean", "m2", "n")]
     return m.filter(F.col("n") >= min_count).select(
         *rest,
-        mean.alias("value"),
+        F.col("mean").alias("value"),
         F.sqrt(var / F.col("n")).alias("total_err"),
         F.col("n").alias("n_obs"),
     )
 
 
 # ------------------------------------------------------------------- cleaning
+def usable(obs: DataFrame) -> DataFrame:
+    """The observations a weighted fit can use: finite, with a positive finite error."""
+    return obs.filter(finite(F.col("value")) & finite(F.col("total_err")) & (F.col("total_err") > 0))
+
+
 def clean(obs: DataFrame) -> DataFrame:
     """Complete missing parts, derive the total error and drop cells chi-square cannot use."""
     have = set(obs.columns)
@@ -45,7 +59,7 @@ def clean(obs: DataFrame) -> DataFrame:
         .withColumn("stat_err", F.coalesce(stat, F.lit(0.0)))
         .withColumn("sys_err", F.coalesce(sys, F.lit(0.0)))
     )
-    return out.filter(finite(F.col("value")) & finite(F.col("total_err")) & (F.col("total_err") > 0))
+    return usable(out)
 
 
 def with_weights(obs: DataFrame, ridge: float = 1e-8) -> DataFrame:

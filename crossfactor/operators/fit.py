@@ -16,14 +16,14 @@ does worse than rank one. Factors are reported in singular order with orthonorma
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from crossfactor.functions.noise import hashed_normal
-from crossfactor.operators.cells import collapse
+from crossfactor.operators.cells import collapse, usable
 from crossfactor.schemas import key_columns
 from crossfactor.session import cut, keep
 
@@ -40,15 +40,10 @@ class FitOptions:
     ndof: str = "reference"  # or "free": do not count the four gauge directions of rank two
     group_max_cells: int = 1_000_000
     block_values: int = 100_000
-    salt: int = 8
+    check_every: int = 5  # rounds between looks at the cost; the same for every size
+    salt: int = 0  # pieces of a row or column in the relational form; 0: as many as the heaviest one needs
     relational_rows: int = 2_000_000_000  # pseudo-cells kept at once for matrices in the relational form
 
-    def relational(self) -> "FitOptions":
-        """Cheaper stopping rule for matrices whose rounds cost shuffles."""
-        if self.tol == 0:
-            return self
-        return replace(self, max_iter=min(self.max_iter, 50), tol=max(self.tol, 1e-6), start_rounds=3)
-
 
 @dataclass
 class FitTables:
@@ -106,7 +101,8 @@ def _alternate(w: np.ndarray, y: np.ndarray, v: np.ndarray, opt: FitOptions):
         v = _solve(np.swapaxes(w, 1, 2), np.swapaxes(wy, 1, 2), u, opt.ridge)
         res = y - _product(u, v)
         cost = np.einsum("rij,rij,rij->r", w, res, res)
-        settled = np.abs(prev - cost) < opt.tol * np.maximum(1.0, np.abs(cost))
+        look = it % opt.check_every == 0 or it == opt.max_iter
+        settled = look & (np.abs(prev - cost) < opt.tol * np.maximum(1.0, np.abs(cost)))
         leave = settled | (it == opt.max_iter)
         prev = cost
         if leave.any():
@@ -344,24 +340,30 @@ def _cost_share(names: list[str]) -> Column:
 class _Layout:
     """The cells of large matrices, stored by row and by column so that half-steps move factors only.
 
-    A row or column that holds very many cells is spread over ``salt`` partitions; the factor side is replicated to
-    match, and the per-salt partial sums are combined by the aggregation that follows.
+    Rows (or columns) are spread over as many pieces as the heaviest one needs to stay below a quarter of an even share
+    of the cells; the factor side is replicated to match, and the partial sums are combined by the aggregation that
+    follows. Where no row is that heavy, nothing is replicated.
     """
 
     def __init__(self, cells: DataFrame, keys: list[str], salt: int):
-        self.keys, self.salt = keys, salt
-        self.by_row = keep(
-            cells.withColumn("salt", F.pmod(F.hash("col_idx"), F.lit(salt))).repartition(*keys, "row_idx", "salt")
-        )
-        self.by_col = keep(
-            cells.withColumn("salt", F.pmod(F.hash("row_idx"), F.lit(salt))).repartition(*keys, "col_idx", "salt")
+        self.keys = keys
+        self.salt = {idx: salt or self._pieces(cells, idx) for idx in ("row_idx", "col_idx")}
+        self.by_row, self.by_col = (
+            keep(cells.withColumn("salt", F.pmod(F.hash(other), F.lit(self.salt[idx]))).repartition(*keys, idx, "salt"))
+            for idx, other in (("row_idx", "col_idx"), ("col_idx", "row_idx"))
         )
 
+    def _pieces(self, cells: DataFrame, idx: str) -> int:
+        per = cells.groupBy(*self.keys, idx).agg(F.count(F.lit(1)).alias("n"))
+        heaviest, total = per.agg(F.max("n"), F.sum("n")).first()
+        share = (total or 1) / (4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return max(1, int(-(-(heaviest or 1) // max(1.0, share))))
+
     def side(self, known: str) -> DataFrame:
         return self.by_row if known == "row_idx" else self.by_col
 
     def gather(self, factors: DataFrame, known: str) -> DataFrame:
-        salted = factors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salt - 1))))
+        salted = factors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salt[known] - 1))))
         return self.side(known).join(salted, [*self.keys, known, "salt"])
 
     def half_step(self, factors: DataFrame, known: str, wanted: str, vec: list[str], extra=()) -> DataFrame:
@@ -395,7 +397,6 @@ def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOption
     keys = layout.keys
     un, vn = (["u"], ["v"]) if rank == 1 else (["u1", "u2"], ["v1", "v2"])
     done_rows, done_cols, done_status = [], [], []
-    status = cols.select(*keys).distinct().withColumn("cost", F.lit(float("inf")))
     for it in range(1, opt.max_iter + 1):
         # one stored frame per round: row factors follow from the column factors before it and are rebuilt on leaving
         sums = layout.half_step(cols.select(*keys, "col_idx", *vn), "col_idx", "row_idx", vn)
@@ -403,13 +404,18 @@ def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOption
         syy = F.sum(F.col("w") * F.col("y") * F.col("y")).alias("syy")
         back = layout.half_step(rows, "row_idx", "col_idx", un, [syy])
         back = back.select("*", *_solution(vn, opt.ridge))
-        cols = cut(back.select(*keys, "col_idx", *vn, _cost_share(vn).alias("share")))
+        before, cols = cols, cut(back.select(*keys, "col_idx", *vn, _cost_share(vn).alias("share")))
         last = it == opt.max_iter
-        if opt.tol == 0 and not last:
+        if not last and (opt.tol == 0 or it % opt.check_every):
             continue
-        new = cols.groupBy(*keys).agg(F.sum("share").alias("new_cost")).join(status, keys)
+        cost = lambda df, name: df.groupBy(*keys).agg(F.sum("share").alias(name))
+        new = cost(cols, "new_cost")
+        if "share" in before.columns:
+            new = new.join(cost(before, "cost"), keys)
+        else:
+            new = new.withColumn("cost", F.lit(float("inf")))
         settled = F.abs(F.col("cost") - F.col("new_cost")) < opt.tol * F.greatest(F.lit(1.0), F.abs("new_cost"))
-        status = cut(new.select(*keys, F.col("new_cost").alias("cost"), settled.alias("settled")))
+        status = cut(new.select(*keys, settled.alias("settled")))
         leave = status.filter(F.lit(last) | F.col("settled"))
         n_leave, n_all = status.agg(F.count_if(F.lit(last) | F.col("settled")), F.count(F.lit(1))).first()
         if n_leave:
@@ -423,7 +429,6 @@ def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOption
             break
         if n_leave:
             cols = cols.join(leave.select(*keys), keys, "left_anti")
-        status = status.filter(~F.col("settled")).drop("settled")
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -567,7 +572,7 @@ def split_by_size(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame |
     """Cells of the keys that fit one task, those of the keys that do not, and the array elements of the former.
 
     The size of a matrix is bounded by both the square of its cell count and the span of its indices; a frame without
-    indices counts its rows. Only the keys above the limit come to the driver.
+    indices counts its rows.
     """
     keys = key_columns(cells)
     n, size = F.count(F.lit(1)).cast("double"), F.count(F.lit(1)).cast("double")
@@ -579,15 +584,13 @@ def split_by_size(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame |
     total, n_big = sizes.agg(F.sum(F.when(fits, F.col("size"))), F.count_if(~fits)).first()
     if not n_big:
         return cells, None, int(total or 0)
-    big = sizes.filter(~fits).select(*keys)
-    if n_big <= 10_000:
-        big = cells.sparkSession.createDataFrame(big.collect(), big.schema)
+    big = cut(sizes.filter(~fits).select(*keys))
     return cells.join(big, keys, "left_anti"), cells.join(big, keys, "left_semi"), int(total or 0)
 
 
 def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, form: str = "auto") -> FitTables:
     """Fit every key of ``obs`` with rank one and, if asked, rank two. ``unique`` promises one observation per cell."""
-    obs = _with_replicate(obs)
+    obs = usable(_with_replicate(obs))
     if unique:
         cells = obs.select(
             *key_columns(obs), "row_idx", "col_idx", "value", "total_err",
@@ -608,7 +611,7 @@ def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, fo
 def _with_large(tables: FitTables | None, large: DataFrame | None, opt: FitOptions, starts: bool = False) -> FitTables:
     """Add the matrices that went through the relational form, and remember which they were."""
     if large is not None:
-        other = fit_relational(large, opt.relational(), starts)
+        other = fit_relational(large, opt, starts)
         tables = other if tables is None else merge(tables, other)
         tables.extra["large"] = large.select(*key_columns(large)).distinct()
     if tables is None:
@@ -624,7 +627,7 @@ def merge(a: FitTables, b: FitTables) -> FitTables:
 
 def multistart(obs: DataFrame, n_starts: int, seed: int = 42, opt: FitOptions = FitOptions(), unique: bool = False) -> FitTables:
     """Fits from hashed random starts, one key per start. The starting vectors depend on seed, matrix, start, column."""
-    obs = _with_replicate(obs)
+    obs = usable(_with_replicate(obs))
     cells = collapse(obs) if not unique else obs.withColumn("n_dup", F.lit(1).cast("long")).withColumn(
         "within_chi2", F.lit(0.0)
     )
@@ -673,16 +676,28 @@ def best_start(summary: DataFrame, rank: int = 2, top: int = 1) -> DataFrame:
 
 
 def start_agreement(tables: FitTables, rank: int = 2, tol: float = 0.05) -> DataFrame:
-    """Largest relative distance between the predictions of the three best starts."""
-    top = best_start(tables.summary, rank, 3)
+    """Largest relative distance between the predictions of the three best starts.
+
+    Distances of products of factors come from their Gram matrices, so no prediction is written out.
+    """
     keys = [k for k in key_columns(tables.summary) if k != "start"]
-    pred = predict_matrix(tables, rank).join(top.select(*keys, "start", "place"), [*keys, "start"])
-    a = pred.select(*keys, "row_idx", "col_idx", F.col("place").alias("pa"), F.col("pred").alias("xa"))
-    b = pred.select(*keys, "row_idx", "col_idx", F.col("place").alias("pb"), F.col("pred").alias("xb"))
-    pairs = a.join(b, [*keys, "row_idx", "col_idx"]).filter(F.col("pa") < F.col("pb"))
-    d = F.col("xa") - F.col("xb")
-    rel = pairs.groupBy(*keys, "pa", "pb").agg(
-        (F.sqrt(F.sum(d * d)) / (F.sqrt(F.sum(F.col("xa") * F.col("xa"))) + 1e-10)).alias("rel")
-    )
-    out = rel.groupBy(*keys).agg(F.max("rel").alias("max_rel_diff"))
+    top = best_start(tables.summary, rank, 3).select(*keys, "start", "place")
+    us, vs = (["u"], ["v"]) if rank == 1 else (["u1", "u2"], ["v1", "v2"])
+
+    def grams(factors: DataFrame, idx: str, names: list[str], out: str) -> DataFrame:
+        f = factors.join(top, [*keys, "start"]).select(*keys, idx, "place", *names)
+        a = f.select(*keys, idx, F.col("place").alias("pa"), *[F.col(n).alias(f"a{i}") for i, n in enumerate(names)])
+        b = f.select(*keys, idx, F.col("place").alias("pb"), *[F.col(n).alias(f"b{i}") for i, n in enumerate(names)])
+        pairs = a.join(b, [*keys, idx]).filter(F.col("pa") <= F.col("pb"))
+        cells = [(i, k) for i in range(rank) for k in range(rank)]
+        return pairs.groupBy(*keys, "pa", "pb").agg(*[F.sum(F.col(f"a{i}") * F.col(f"b{k}")).alias(f"{out}{i}{k}") for i, k in cells])
+
+    g = grams(tables.rows, "row_idx", us, "g").join(grams(tables.cols, "col_idx", vs, "h"), [*keys, "pa", "pb"])
+    dot = sum((F.col(f"g{i}{k}") * F.col(f"h{i}{k}") for i in range(rank) for k in range(rank)), F.lit(0.0))
+    dots = g.select(*keys, "pa", "pb", dot.alias("dot"))
+    own = dots.filter(F.col("pa") == F.col("pb"))
+    side = lambda p, name: own.select(*keys, F.col("pa").alias(p), F.col("dot").alias(name))
+    pairs = dots.filter(F.col("pa") < F.col("pb")).join(side("pa", "aa"), [*keys, "pa"]).join(side("pb", "bb"), [*keys, "pb"])
+    gap = F.sqrt(F.greatest(F.col("aa") + F.col("bb") - 2 * F.col("dot"), F.lit(0.0)))
+    out = pairs.groupBy(*keys).agg(F.max(gap / (F.sqrt(F.greatest("aa", F.lit(0.0))) + 1e-10)).alias("max_rel_diff"))
     return out.withColumn("is_stable", F.col("max_rel_diff") <= tol)

@@ -254,7 +254,7 @@ def mode_verdict(df: DataFrame) -> DataFrame:
         moderate & significant & localized & replicates
     )
     word = (
-        F.when(~healthy | unstable, "inconclusive")
+        F.when(~healthy | unstable | pl.isNull(), "inconclusive")
         .when(pl > 0.1, "consistent_with_null")
         .when(structured, "structured_deviation")
         .when(strong | moderate, "likely_artifact")
@@ -263,30 +263,31 @@ def mode_verdict(df: DataFrame) -> DataFrame:
     go = healthy & ~unstable & (pl <= 0.1)
     reasons = F.array_compact(
         F.array(
-            F.when(~healthy, F.lit("Fit failed health checks")),
-            F.when(healthy & unstable, F.concat(F.lit("Residual mode unstable (grade: "), F.col("stability_grade"), F.lit(")"))),
-            F.when(healthy & ~unstable & (pl > 0.1), F.format_string("Local p-value large (%.3f > 0.1)", pl)),
-            F.when(healthy & ~unstable & (pl > 0.1), F.lit("No significant deviation from rank-1")),
-            F.when(go & strong, F.format_string("Strong local deviation (p_local = %.4f)", pl)),
-            F.when(go & moderate, F.format_string("Moderate local deviation (p_local = %.4f)", pl)),
-            F.when(go & (pl >= 0.05), F.format_string("Marginal local deviation (p_local = %.4f)", pl)),
-            F.when(go & localized, F.format_string("Residual is localized (Gini=%.2f)", F.col("gini"))),
-            F.when(go & ~localized & F.col("gini").isNotNull(), F.format_string("Residual is diffuse (Gini=%.2f)", F.col("gini"))),
-            F.when(go & significant, F.format_string("Global p-value significant (%.4f < 0.05)", pg)),
-            F.when(go & ~significant & pg.isNotNull(), F.format_string("Global p-value not significant (%.4f >= 0.05)", pg)),
-            F.when(go & replicates, F.lit("Residual mode replicates across conditions")),
+            F.when(pl.isNull(), F.lit("no p-value could be formed")),
+            F.when(~healthy, F.lit("the fit itself is not sound")),
+            F.when(healthy & unstable, F.concat(F.lit("mode moves between runs: "), F.col("stability_grade"))),
+            F.when(healthy & ~unstable & (pl > 0.1), F.format_string("p here %.3f, above 0.1", pl)),
+            F.when(healthy & ~unstable & (pl > 0.1), F.lit("one component explains the table")),
+            F.when(go & strong, F.format_string("p here %.4f, below 0.01", pl)),
+            F.when(go & moderate, F.format_string("p here %.4f, below 0.05", pl)),
+            F.when(go & (pl >= 0.05), F.format_string("p here %.4f, at most 0.1", pl)),
+            F.when(go & localized, F.format_string("mode sits in few places, Gini %.2f", F.col("gini"))),
+            F.when(go & ~localized & F.col("gini").isNotNull(), F.format_string("mode is spread out, Gini %.2f", F.col("gini"))),
+            F.when(go & significant, F.format_string("p over all slices %.4f, below 0.05", pg)),
+            F.when(go & ~significant & pg.isNotNull(), F.format_string("p over all slices %.4f, not below 0.05", pg)),
+            F.when(go & replicates, F.lit("all slices show the same mode")),
             F.when(
                 go & ~replicates & F.col("mean_replication_score").isNotNull(),
-                F.format_string("Replication score: %.2f", F.col("mean_replication_score")),
+                F.format_string("slices agree to %.2f", F.col("mean_replication_score")),
             ),
-            F.when(go & strong & significant & ~structured, F.lit("But residual not clearly localized or replicated")),
+            F.when(go & strong & significant & ~structured, F.lit("neither in few places nor in all slices")),
             F.when(
-                go & strong & ~significant & structured, F.lit("Replicates and localized, but global significance marginal")
+                go & strong & ~significant & structured, F.lit("taken for real on place and slices alone")
             ),
             F.when(
-                go & strong & ~significant & ~structured, F.lit("May be look-elsewhere effect or statistical fluctuation")
+                go & strong & ~significant & ~structured, F.lit("chance, or many looks, would do")
             ),
-            F.when(go & moderate & ~structured, F.lit("Insufficient evidence for structured deviation")),
+            F.when(go & moderate & ~structured, F.lit("too little for a real structure")),
         )
     )
     return df.withColumn("mode_verdict", word).withColumn("reasons", reasons)

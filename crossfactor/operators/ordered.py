@@ -40,12 +40,18 @@ def running(
     )
 
 
-def value_positions(df: DataFrame, by: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+def value_positions(df: DataFrame, by: list[str], value: str, bucket: Column | None = None, spread: bool = False) -> DataFrame:
     """Distinct values per group with ``n_le`` (how many rows are at most this value), ``n_eq`` and group size ``n``.
 
     Rows collapse to distinct values before anything is sorted. With a monotone ``bucket`` of the value, each group is
-    sorted bucket by bucket, so a group holding most of the rows is still spread.
+    sorted bucket by bucket, so a group holding most of the rows is still spread; ``spread`` does without a bucket and
+    sorts by range over all tasks.
     """
+    if spread:
+        d = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_eq"))
+        size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        d = running(d, by, [value], {"n_le": F.col("n_eq")}, spread=True).join(size, by)
+        return d.select(*by, value, "n_eq", F.col("n_le").cast("long").alias("n_le"), "n")
     bucket = bucket if bucket is not None else F.lit(0)
     d = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_eq")).withColumn("_b", bucket)
     tot = d.groupBy(*by, "_b").agg(F.sum("n_eq").alias("_nb"))
@@ -69,7 +75,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str, spread: bool = False
         same = Window.partitionBy(*by, value)
         first = F.rank().over(Window.partitionBy(*by).orderBy(value))
         return df.withColumn("rank", first + (F.count(F.lit(1)).over(same) - 1) / 2)
-    pos = value_positions(df, by, value)
+    pos = value_positions(df, by, value, spread=True)
     rank = F.col("n_le") - (F.col("n_eq") - 1) / 2
     return df.join(pos.select(*by, value, rank.alias("rank")), [*by, value])
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from crossfactor.functions.scalars import finite
 from crossfactor.operators.fit import FitOptions
 from crossfactor.operators.ordered import modal_value
 from crossfactor.operators.ranktest import RankTest, p_values, rank_test
@@ -48,6 +49,9 @@ class Preset:
 
     def predicate(self, columns: list[str]) -> Column:
         """The rows of a cell frame this preset keeps."""
+        needs = [c for c, used in (("source", self.subset and not self.include_rows), ("axis_value", self.range_min is not None or self.range_max is not None), ("mode", self.mode), ("n_points", self.n_points)) if used]
+        if lost := [c for c in needs if c not in columns]:
+            raise ValueError(f"preset {self.name}: the cells have no column {', '.join(lost)}")
         keep = F.lit(True)
         if self.exclude_element is not None:
             keep = keep & (F.col("row_label") != self.exclude_element) & (F.col("col_label") != self.exclude_element)
@@ -69,38 +73,40 @@ class Preset:
                 keep = keep & (F.col(column) >= bound)
             elif side == "max" and column in columns:
                 keep = keep & (F.col(column) <= bound)
+            elif name != "min_xP_points":  # a count of points per row, see apply_presets
+                raise ValueError(f"preset {self.name}: the cells have no column {column or name!r}")
         return keep
 
 
 # The preset lists of the three published analyses.
 SIGNAL_STRENGTH_PRESETS = [
-    Preset("baseline", "baseline", "Full dataset, no modifications", is_fast=True),
-    Preset("loo_gamgam", "leave_one_out", "Exclude γγ decay channel", exclude_element="γγ", is_fast=True),
-    Preset("loo_ZZ", "leave_one_out", "Exclude ZZ decay channel", exclude_element="ZZ*"),
-    Preset("loo_WW", "leave_one_out", "Exclude WW decay channel", exclude_element="WW*"),
-    Preset("loo_tautau", "leave_one_out", "Exclude ττ decay channel", exclude_element="ττ"),
-    Preset("loo_bb", "leave_one_out", "Exclude bb̄ decay channel", exclude_element="bb̄", is_fast=True),
-    Preset("gluon_only", "data_subset", "Only gluon-initiated production modes", include_rows=("ggF", "ttH")),
-    Preset("vector_only", "data_subset", "Only vector boson production modes", include_rows=("VBF", "WH", "ZH")),
+    Preset("baseline", "baseline", "all cells", is_fast=True),
+    Preset("loo_gamgam", "leave_one_out", "without γγ", exclude_element="γγ", is_fast=True),
+    Preset("loo_ZZ", "leave_one_out", "without ZZ*", exclude_element="ZZ*"),
+    Preset("loo_WW", "leave_one_out", "without WW*", exclude_element="WW*"),
+    Preset("loo_tautau", "leave_one_out", "without ττ", exclude_element="ττ"),
+    Preset("loo_bb", "leave_one_out", "without bb̄", exclude_element="bb̄", is_fast=True),
+    Preset("gluon_only", "data_subset", "rows ggF and ttH", include_rows=("ggF", "ttH")),
+    Preset("vector_only", "data_subset", "rows VBF, WH and ZH", include_rows=("VBF", "WH", "ZH")),
 ]
 ELASTIC_PRESETS = [
-    Preset("baseline", "baseline", "Full overlap t-range, default resolution", is_fast=True),
-    Preset("tight_range", "range_variation", "Tight t-range: 0.05-0.15 GeV²", range_min=0.05, range_max=0.15, is_fast=True),
-    Preset("medium_range", "range_variation", "Medium t-range: 0.03-0.20 GeV²", range_min=0.03, range_max=0.20),
-    Preset("wide_range", "range_variation", "Wide t-range: 0.02-0.30 GeV²", range_min=0.02, range_max=0.30),
-    Preset("res_50", "resolution", "50 interpolation points", n_points=50),
-    Preset("res_100", "resolution", "100 interpolation points", n_points=100),
-    Preset("res_200", "resolution", "200 interpolation points", n_points=200),
-    Preset("raw_mode", "mode", "Raw dσ/dt values", mode="raw"),
-    Preset("normalized_mode", "mode", "Shape-only normalized", mode="normalized", is_fast=True),
+    Preset("baseline", "baseline", "whole common range", is_fast=True),
+    Preset("tight_range", "range_variation", "t from 0.05 to 0.15", range_min=0.05, range_max=0.15, is_fast=True),
+    Preset("medium_range", "range_variation", "t from 0.03 to 0.20", range_min=0.03, range_max=0.20),
+    Preset("wide_range", "range_variation", "t from 0.02 to 0.30", range_min=0.02, range_max=0.30),
+    Preset("res_50", "resolution", "grid of 50", n_points=50),
+    Preset("res_100", "resolution", "grid of 100", n_points=100),
+    Preset("res_200", "resolution", "grid of 200", n_points=200),
+    Preset("raw_mode", "mode", "values as measured", mode="raw"),
+    Preset("normalized_mode", "mode", "values over their integral", mode="normalized", is_fast=True),
 ]
 DIFFRACTIVE_PRESETS = [
-    Preset("baseline", "baseline", "Full dataset with standard cuts", is_fast=True),
-    Preset("high_Q2", "kinematic_cut", "Q² > 10 GeV² only", cuts=(("Q2_min", 10.0),), is_fast=True),
-    Preset("mid_beta", "kinematic_cut", "0.1 < β < 0.9 (exclude extremes)", cuts=(("beta_min", 0.1), ("beta_max", 0.9))),
-    Preset("dense_coverage", "kinematic_cut", "Stricter coverage threshold", cuts=(("min_xP_points", 5.0),)),
-    Preset("h1_only", "data_subset", "H1 data only", subset="H1", is_fast=True),
-    Preset("zeus_only", "data_subset", "ZEUS data only", subset="ZEUS"),
+    Preset("baseline", "baseline", "all cells after the usual cuts", is_fast=True),
+    Preset("high_Q2", "kinematic_cut", "Q² from 10", cuts=(("Q2_min", 10.0),), is_fast=True),
+    Preset("mid_beta", "kinematic_cut", "β from 0.1 to 0.9", cuts=(("beta_min", 0.1), ("beta_max", 0.9))),
+    Preset("dense_coverage", "kinematic_cut", "rows with 5 points or more", cuts=(("min_xP_points", 5.0),)),
+    Preset("h1_only", "data_subset", "source H1", subset="H1", is_fast=True),
+    Preset("zeus_only", "data_subset", "source ZEUS", subset="ZEUS"),
 ]
 _PRESETS = {
     "higgs": SIGNAL_STRENGTH_PRESETS,
@@ -172,8 +178,9 @@ def sweep(cells: DataFrame, presets: list[Preset], n_bootstrap: int, seed: int =
     return rank_test(apply_presets(cells, presets), n_bootstrap, seed, opt)
 
 
-def global_significance(observed: DataFrame, null: DataFrame, ok: Column | None = None, presets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Maximum statistic over the presets against the same maximum in each replicate; a failed fit counts as 0.
+def global_significance(observed: DataFrame, null: DataFrame, presets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Maximum statistic over the presets against the same maximum in each replicate; a preset without a fit counts as 0,
+    one that hit the round limit counts with its statistic.
 
     Equal statistics go to the preset listed first (``presets``: preset, ord), else to the first name.
     """
@@ -181,7 +188,7 @@ def global_significance(observed: DataFrame, null: DataFrame, ok: Column | None
         observed = observed.join(presets.select("preset", "ord"), "preset")
     tie = [F.col("ord")] if presets is not None else []
     keys = [k for k in ("matrix_id",) if k in null.columns]
-    lam = F.coalesce(F.when(ok if ok is not None else F.lit(True), F.col("lambda_stat")), F.lit(0.0))
+    lam = F.coalesce(F.when(finite(F.col("lambda_stat")), F.col("lambda_stat")), F.lit(0.0))
     t_obs = observed.groupBy(*keys).agg(
         F.max(lam).alias("lambda_stat"), F.min_by("preset", F.struct(-F.round(lam, 9), *tie, F.col("preset"))).alias("best_preset"), F.count(F.lit(1)).alias("n_presets")
     )

@@ -36,10 +36,10 @@ def spot_checks(cells: DataFrame, checks: DataFrame, log_tolerance: float = 0.5)
     rel = F.abs(actual - target) / F.abs(target)
     passed = F.when(F.col("is_log"), rel < log_tolerance).otherwise(rel <= F.col("tolerance"))
     message = (
-        F.when(actual.isNull(), F.format_string("Cell not found: (%s, %s)", F.col("row_label"), F.col("col_label")))
-        .when(F.col("is_log") & ~(expected > 0), "Cannot compare a logarithm with a non-positive expectation")
-        .when(F.col("is_log"), F.format_string("Log-scale comparison: %.3f vs %.3f", actual, target))
-        .when(~passed, F.format_string("Value mismatch: %.4f vs %.4f", actual, expected))
+        F.when(actual.isNull(), F.format_string("%s / %s was not found", F.col("row_label"), F.col("col_label")))
+        .when(F.col("is_log") & ~(expected > 0), "no logarithm of the expected value")
+        .when(F.col("is_log"), F.format_string("logarithms: got %.3f, want %.3f", actual, target))
+        .when(~passed, F.format_string("got %.4f, want %.4f", actual, expected))
         .otherwise("")
     )
     return j.select(

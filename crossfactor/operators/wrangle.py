@@ -76,13 +76,26 @@ def has_keywords(name: Column, description: Column) -> Column:
 
 
 # --------------------------------------------------------------- role mapping
-# Name patterns of the roles, tried in this order for every column.
-ROLE_PATTERNS = {
-    "Q2": ["q2", "q^2", "q**2", "name=q"],
-    "beta": ["beta", "β", "name=beta"],
-    "xP": ["xp", "x_p", "xpom", "x_pom", "xi", "x(name=pomeron)", "name=pomeron"],
-    "value": ["sigma", "f2d", "xsec", "cross", "sig(c=reduced"],
-}
+# The words by which a column shows its role.
+#: Role, words of which a name has one, words it must not have, words of which one must come with them.
+_VALUE = ("sigma", "f2d", "xsec", "cross", "sig(c=reduced")
+_SPREAD = ("err", "unc")
+TABLE_RULES = [
+    ("Q2", ("q2", "q^2", "q**2", "name=q"), (), ()),
+    ("beta", ("beta", "β", "name=beta"), (), ()),
+    ("xP", ("xp", "x_p", "xpom", "x_pom", "xi", "x(name=pomeron)", "name=pomeron"), (), ()),
+    ("value", _VALUE, _SPREAD, ()),
+    ("stat_err", ("stat",), (), _VALUE),
+    ("sys_err", ("sys",), ("stat",), _VALUE),
+    ("total_err", _SPREAD, ("stat", "sys"), _VALUE),
+]
+CURVE_RULES = [
+    ("t", ("|t|", "t_abs", "=t="), (), ()),
+    ("stat_err", ("stat",), ("|t|", "t_abs"), ("dsig", *_SPREAD)),
+    ("sys_err", ("sys",), ("|t|", "t_abs", "stat"), ("dsig", *_SPREAD)),
+    ("total_err", _SPREAD, ("|t|", "t_abs", "stat", "sys"), ()),
+    ("dsigma_dt", ("dsig",), ("|t|", "t_abs", "stat", "sys", *_SPREAD), ()),
+]
 REQUIRED_ROLES = ("Q2", "beta", "xP", "value")
 
 
@@ -90,28 +103,27 @@ def missing_columns(present: list[str], required: tuple[str, ...] | list[str]) -
     return sorted(set(required) - set(present))
 
 
+def match_roles(columns: list[str], rules: list[tuple], last: tuple[str, ...] = ()) -> dict[str, str]:
+    """First column that satisfies each rule (the last one for the roles in ``last``); a name plays no role twice among
+    the rules before it. Names are matched in lower case, and as a whole between equals signs."""
+    out: dict[str, str] = {}
+    for role, any_of, none_of, along in rules:
+        fit = [
+            c for c in columns for low in [c.lower()] for whole in [f"={low}="]
+            if any(w in low or w == whole for w in any_of) and not any(w in low for w in none_of) and (not along or any(w in low for w in along))
+        ]
+        fit = [c for c in fit if c not in out.values()]
+        if fit:
+            out[role] = fit[-1 if role in last else 0]
+    return out
+
+
 def resolve_roles(columns: list[str]) -> dict[str, str]:
     """Which column plays which role, from names alone; raises with the roles nobody plays."""
-    roles: dict[str, str] = {}
-    for col in columns:
-        low = col.lower()
-        for role, words in ROLE_PATTERNS.items():
-            if role in roles or not any(w in low for w in words):
-                continue
-            if role == "value" and ("err" in low or "unc" in low):
-                continue
-            roles[role] = col
-            break
+    roles = match_roles(columns, TABLE_RULES, last=("stat_err", "sys_err", "total_err"))
     missing = missing_columns(list(roles), REQUIRED_ROLES)
     if missing:
         raise ValueError(f"no column for {', '.join(missing)} among {columns}")
-    for col in columns:
-        low = col.lower()
-        if roles["value"].lower() in low or any(w in low for w in ROLE_PATTERNS["value"]):
-            for role, words in (("stat_err", ["stat"]), ("sys_err", ["sys"]), ("total_err", ["err", "unc"])):
-                if any(w in low for w in words):
-                    roles[role] = col
-                    break
     return roles
 
 
@@ -123,33 +135,25 @@ def map_roles(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Role columns as doubles, with the total error completed and non-positive values dropped."""
     roles = resolve_roles([c for c in df.columns if c not in (keep or [])])
     cols = [_num(src).alias(role) for role, src in roles.items()]
-    out = df.select(*(keep or []), *cols)
-    for name in ("stat_err", "sys_err"):
-        if name not in roles:
-            out = out.withColumn(name, F.lit(0.0))
-    given = F.col("total_err") if "total_err" in roles else None
-    out = out.withColumn("total_err", default_error(total_error(F.col("stat_err"), F.col("sys_err"), given), F.col("value"), 0.1))
+    errors = [F.lit(None).cast("double").alias(e) for e in ("stat_err", "sys_err", "total_err") if e not in roles]
+    return complete_roles(df.select(*(keep or []), *cols, *errors))
+
+
+def complete_roles(out: DataFrame) -> DataFrame:
+    """Missing parts of the error as zero, the total completed (else a tenth of the value), unusable rows dropped."""
+    out = out.fillna(0.0, ["stat_err", "sys_err"])
+    total = total_error(F.col("stat_err"), F.col("sys_err"), F.col("total_err"))
+    out = out.withColumn("total_err", default_error(total, F.col("value"), 0.1))
     complete = F.col("Q2").isNotNull() & F.col("beta").isNotNull() & F.col("xP").isNotNull()
     return out.filter(complete & (F.col("value") > 0))
 
 
 def curve_roles(columns: list[str]) -> dict[str, str]:
     """Roles of a curve table; the axis and the value fall back to the first and second column."""
-    roles: dict[str, str] = {}
-    for col in columns:
-        low = col.lower()
-        err = "err" in low or "unc" in low
-        if "|t|" in low or "t_abs" in low or low == "t":
-            role = "t"
-        elif "dsig" in low or err:
-            role = "stat_err" if "stat" in low else "sys_err" if "sys" in low else "total_err" if err else "dsigma_dt"
-        else:
-            continue
-        roles.setdefault(role, col)
-    if "t" not in roles:
-        roles["t"] = columns[0]
-    if "dsigma_dt" not in roles and len(columns) > 1:
-        roles["dsigma_dt"] = columns[1]
+    roles = match_roles(columns, CURVE_RULES)
+    for place, role in enumerate(("t", "dsigma_dt")):
+        if role not in roles and place < len(columns):
+            roles[role] = columns[place]
     return roles
 
 

@@ -90,7 +90,7 @@ def mode_analysis(
     sweep_rows = cut(sweep_rows.join(peaks, ["matrix_id", "preset"], "left").withColumnRenamed("p_value", "p_local"))
     if opt.tol == 0:
         sweep_rows = sweep_rows.withColumn("fit_converged", F.col("lambda_stat").isNotNull())
-    overall, _ = presetops.global_significance(swept.observed.summary, swept.null, settled, names)
+    overall, _ = presetops.global_significance(swept.observed.summary, swept.null, names)
     ids = all_modes.select(F.concat_ws("|", "matrix_id", "preset").alias("mode_id"), "matrix_id", "preset", "axis", "idx", "val")
     pairs = ids.filter(F.col("preset") != "baseline").select(
         "matrix_id", F.concat_ws("|", "matrix_id", F.lit("baseline")).alias("source_a"), F.col("mode_id").alias("source_b")

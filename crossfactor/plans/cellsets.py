@@ -29,7 +29,7 @@ def order_value_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     named = m.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.lit("orders").alias("matrix_id"), F.col("n_name").alias("row_label"), F.col("c_mktsegment").alias("col_label"),
-        "n", "s1", "s2",
+        "n", "mean", "m2",
     )
     return indexed(mean_cells(named))
 
@@ -46,7 +46,7 @@ def revenue_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     named = m.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.lit("lines").alias("matrix_id"), F.col("n_name").alias("row_label"), F.col("p_brand").alias("col_label"),
-        "n", "s1", "s2",
+        "n", "mean", "m2",
     )
     return indexed(mean_cells(named))
 
@@ -61,7 +61,7 @@ def priority_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     named = m.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("o_orderpriority").alias("matrix_id"), F.col("n_name").alias("row_label"),
-        F.format_string("year=%d", F.col("yr")).alias("col_label"), "n", "s1", "s2",
+        F.format_string("year=%d", F.col("yr")).alias("col_label"), "n", "mean", "m2",
     )
     return indexed(mean_cells(named))
 
@@ -90,7 +90,7 @@ def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("year=%d", F.year("l_shipdate")).alias("col_label"),
         revenue.alias("x"),
     )
-    return indexed(mean_cells(moments(named, ["matrix_id", "row_label", "col_label"], F.col("x")), min_count=3))
+    return indexed(mean_cells(moments(named, ["matrix_id", "row_label", "col_label"], F.col("x"))))
 
 
 def event_curves(spark: SparkSession, sf_dir: str) -> DataFrame:

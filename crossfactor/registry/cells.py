@@ -8,6 +8,7 @@ from crossfactor.functions.scalars import default_error
 from crossfactor.operators import cells as cellops, checks, wrangle
 from crossfactor.plans import cellsets
 from crossfactor.registry import sqltext as s
+from crossfactor.session import cut
 
 
 def _rounded(*cols, d=6):
@@ -45,10 +46,10 @@ def cut_and_bin(spark, sf):
     u = wrangle.tagged_union({"F": a, "O": b}).filter(wrangle.range_cuts(_CUTS))
     u = u.withColumn("total_err", default_error(F.col("stat_err"), F.col("value"), 0.1)).withColumn("matrix_id", F.lit("all"))
     u = wrangle.binned_cells(u, F.format_string("q=%.1f_d=%.3f", F.col("l_quantity"), F.col("l_discount")), F.format_string("tax=%.5f", F.col("l_tax")))
-    c = cellops.index_labels(u)
-    return c.groupBy("source", "row_label", "col_label", "row_idx", "col_idx").agg(
+    cells = cut(u.groupBy("matrix_id", "source", "row_label", "col_label").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.max("total_err"), 4).alias("max_err")
-    )
+    ))
+    return cellops.index_labels(cells).drop("matrix_id")
 
 
 CUT_BIN = f"""WITH u AS (SELECT l_linestatus AS source, 'q=' || printf('%.1f', l_quantity) || '_d=' || printf('%.3f', l_discount) AS row_label,

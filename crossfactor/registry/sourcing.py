@@ -129,8 +129,7 @@ def usable_tables(spark, sf):
 
 
 USABLE = """SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS q2, round(sum(l_discount), 4) AS beta, round(sum(l_tax), 4) AS xp, round(sum(0.02 * l_extendedprice), 3) AS err
-FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, first_value(l_quantity) OVER w AS l_quantity, first_value(l_discount) OVER w AS l_discount, first_value(l_tax) OVER w AS l_tax,
- first_value(l_extendedprice) OVER w AS l_extendedprice FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_orderkey, l_linenumber, l_partkey ORDER BY l_extendedprice))
+FROM lineitem
 WHERE l_suppkey % 4 <> 0 AND l_extendedprice > 0 GROUP BY l_suppkey"""
 
 

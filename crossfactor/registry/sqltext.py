@@ -32,7 +32,7 @@ _CS = """
 SELECT CAST(l_suppkey AS VARCHAR) AS matrix_id, l_returnflag || '/' || l_linestatus AS row_label,
        'year=' || CAST(year(l_shipdate) AS VARCHAR) AS col_label, avg(l_extendedprice * (1 - l_discount)) AS value,
        stddev_samp(l_extendedprice * (1 - l_discount)) / sqrt(count(*)) AS total_err, count(*) AS n_obs
-FROM lineitem GROUP BY l_suppkey, l_returnflag || '/' || l_linestatus, year(l_shipdate) HAVING count(*) >= 3"""
+FROM lineitem GROUP BY l_suppkey, l_returnflag || '/' || l_linestatus, year(l_shipdate) HAVING count(*) >= 2"""
 
 _CP = """
 SELECT 'unit_price' AS matrix_id, CAST(l_partkey AS INTEGER) AS row_idx, s_nationkey AS col_idx,

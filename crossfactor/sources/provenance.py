@@ -48,9 +48,9 @@ def flags(prov: DataFrame) -> DataFrame:
 def warnings(prov: DataFrame) -> DataFrame:
     """One row per warning: fallbacks taken and placeholder data."""
     fb = prov.select("matrix_id", F.explode("fallbacks").alias("f")).select(
-        "matrix_id", F.format_string("FALLBACK at %s: %s -> %s", F.col("f.step"), F.col("f.reason"), F.col("f.fallback_to")).alias("warning")
+        "matrix_id", F.format_string("%s took %s instead: %s", F.col("f.step"), F.col("f.fallback_to"), F.col("f.reason")).alias("warning")
     )
-    ph = prov.filter(F.col("origin") == "placeholder").select("matrix_id", F.lit("DATA IS PLACEHOLDER - spot-checks will fail").alias("warning"))
+    ph = prov.filter(F.col("origin") == "placeholder").select("matrix_id", F.lit("stand-in values, not measurements").alias("warning"))
     return fb.unionByName(ph)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crossfactor.schemas import PUBLISHED_RECORD, PUBLISHED_TABLE
@@ -81,13 +82,32 @@ def variable_rows(tables: DataFrame, by: list[str]) -> tuple[DataFrame, DataFram
 
 
 def flat_table(tables: DataFrame, by: list[str]) -> DataFrame:
-    """One row per (table, position) with every independent value and every dependent value as maps by name."""
-    ind, dep = variable_rows(tables, by)
-    xs = ind.groupBy(*by, "pos").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("centre", "low", "high")))).alias("x"))
-    ys = dep.groupBy(*by, "pos").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", F.struct("value", "stat_err", "sys_err", "total_err")))).alias("y")
-    )
-    return xs.join(ys, [*by, "pos"])
+    """One row per (table, position) with every independent value and every dependent value as maps by name.
+
+    Both lists sit in the same row, so positions are exploded once and nothing is grouped or joined.
+    """
+    number = lambda c: c.try_cast("double")
+    longest = lambda c: F.coalesce(F.array_max(F.transform(c, lambda v: F.size(v["values"]))), F.lit(0))
+    n = F.least(longest("independent_variables"), longest("dependent_variables"))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    t = tables.select(*by, "independent_variables", "dependent_variables", F.explode(places).alias("pos"))
+    name = lambda v, i, d: F.coalesce(v["header"]["name"], F.concat(F.lit(d), i.cast("string")))
+    at = lambda v: F.get(v["values"], F.col("pos"))
+
+    def x_entry(v: Column, i: Column) -> Column:
+        point = number(at(v)["value"])
+        centre = F.coalesce(point, (at(v)["low"] + at(v)["high"]) / 2)
+        low, high = F.coalesce(at(v)["low"], point), F.coalesce(at(v)["high"], point)
+        return F.when(centre.isNotNull(), F.struct(name(v, i, "x").alias("name"), F.struct(centre.alias("centre"), low.alias("low"), high.alias("high")).alias("v")))
+
+    def y_entry(v: Column, i: Column) -> Column:
+        stat, sys, tot = split_errors(at(v)["errors"])
+        got = F.struct(number(at(v)["value"]).alias("value"), stat.alias("stat_err"), sys.alias("sys_err"), tot.alias("total_err"))
+        return F.when(at(v).isNotNull(), F.struct(name(v, i, "y").alias("name"), got.alias("v")))
+
+    maps = lambda c, entry: F.map_from_entries(F.array_compact(F.transform(c, entry)))
+    out = t.select(*by, "pos", maps("independent_variables", x_entry).alias("x"), maps("dependent_variables", y_entry).alias("y"))
+    return out.filter((F.size("x") > 0) & (F.size("y") > 0))
 
 
 # ------------------------------------------------------------------ row style
@@ -135,26 +155,58 @@ def first_xy(tables: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("total_err", F.hypot("stat_err", "sys_err"))
 
 
+_ROLES = ["Q2", "beta", "xP", "value", "stat_err", "sys_err", "total_err"]
+
+
+def header_roles(names: Column, labels: list[str]) -> Column:
+    """Where each role stands in a header list: ``role -> (pos, label)``, the label naming an error of that column; null
+    when a required role is missing. Lists repeat, so each is resolved once a task."""
+
+    @F.pandas_udf("array<struct<role:string,pos:int,label:string>>")
+    def resolve(lists: pd.Series) -> pd.Series:
+        from crossfactor.operators.wrangle import resolve_roles
+
+        known: dict[tuple, list | None] = {}
+
+        def one(names) -> list | None:
+            names = tuple(names) if names is not None else ()
+            if names not in known:
+                place = {n: (i, None) for i, n in reversed(list(enumerate(names))) if n}
+                place |= {f"{n}_{e}": (i, e) for n, (i, _) in list(place.items()) for e in labels}
+                try:
+                    known[names] = [(role, *place[c]) for role, c in resolve_roles(list(place)).items()]
+                except ValueError:
+                    known[names] = None
+            return known[names]
+
+        return pd.Series([one(x) for x in lists], dtype=object)
+
+    return F.map_from_entries(F.transform(resolve(names), lambda r: F.struct(r["role"], F.struct(r["pos"], r["label"]))))
+
+
 def usable_tables(tables: DataFrame, by: list[str], keep_names: list[str]) -> DataFrame:
-    """All tables of the records whose columns can play the required roles, mapped and appended.
+    """All tables of the records whose columns can play the required roles, mapped and appended: one scan, values read by
+    their position. ``unusable_tables`` lists the others."""
+    t = tables.withColumn("_roles", header_roles(F.col("headers.name"), keep_names)).filter(F.col("_roles").isNotNull())
+    t = t.select(*by, "_roles", F.posexplode("values").alias("pos", "v"))
+    nx = F.size("v.x")
 
-    Header lists are resolved on the driver once per distinct list; rows never come there.
-    """
-    from crossfactor.operators.wrangle import map_roles, resolve_roles
-
-    out = None
-    for row in header_sets(tables, by).collect():
-        names = [n for n in row["names"] or [] if n]
-        errors = [f"{n}_{e}" for n in names for e in keep_names]
-        try:
-            resolve_roles(names)
-        except ValueError:
-            continue
-        mine = tables.filter(F.col("headers.name") == F.array(*[F.lit(n) for n in row["names"]]))
-        wide = row_style(mine, by).groupBy(*by, "pos").pivot("name", [*names, *errors]).agg(F.first("value"))
-        part = map_roles(wide, [*by, "pos"])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    def value(role: str) -> Column:
+        pos, label = F.col("_roles")[role]["pos"], F.col("_roles")[role]["label"]
+        own = F.get(F.col("v.y"), pos - nx)
+        error = F.get(F.filter(own["errors"], lambda e: e["label"] == label), F.lit(0))
+        plain = F.when(pos < nx, F.get(F.col("v.x"), pos)["value"]).otherwise(own["value"]).try_cast("double")
+        return F.when(label.isNotNull(), F.when(error.isNotNull(), _size(error))).otherwise(plain)
+
+    from crossfactor.operators.wrangle import complete_roles
+
+    return complete_roles(t.select(*by, "pos", *[value(r).alias(r) for r in _ROLES]))
+
+
+def unusable_tables(tables: DataFrame, by: list[str], keep_names: list[str]) -> DataFrame:
+    """The tables that ``usable_tables`` leaves out, with their header lists."""
+    names = F.col("headers.name")
+    return tables.select(*by, names.alias("names"), header_roles(names, keep_names).alias("_r")).filter(F.col("_r").isNull()).drop("_r")
 
 
 def correlation_file(spark: SparkSession, path: str, matrix_id: str) -> DataFrame:

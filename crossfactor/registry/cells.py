@@ -198,12 +198,16 @@ TAG = "SELECT CASE " + " ".join(f"WHEN contains(lower(p_name || ' ' || p_type),
 
 
 def keyword_tables(spark, sf):
-    """Documents whose source or text carries the keywords of a signal-strength table."""
+    """Documents whose source or text carries the keywords of a signal-strength table; some of them are given one."""
     d = cellsets.table(spark, sf, "documents")
-    return d.filter(wrangle.has_keywords(F.col("source"), F.col("text"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("doc_id")
+    source = F.concat(F.when(n % 5 == 0, F.lit("Mu_")).when(n % 11 == 0, F.lit("μ")).otherwise(F.lit("")), "source")
+    text = F.concat("text", F.when(n % 7 == 0, F.lit(" Signal Strength")).when(n % 13 == 0, F.lit(" PROD by decay")).when(n % 17 == 0, F.lit(" prod")).otherwise(F.lit("")))
+    return d.filter(wrangle.has_keywords(source, text)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-KEYWORDS = """SELECT lang, count(*) AS n FROM documents WHERE contains(lower(text), 'signal strength') OR contains(lower(source), 'mu_') OR contains(source, 'μ')
+KEYWORDS = """SELECT lang, count(*) AS n FROM (SELECT lang, CASE WHEN doc_id % 5 = 0 THEN 'Mu_' WHEN doc_id % 11 = 0 THEN 'μ' ELSE '' END || source AS source,
+ text || CASE WHEN doc_id % 7 = 0 THEN ' Signal Strength' WHEN doc_id % 13 = 0 THEN ' PROD by decay' WHEN doc_id % 17 = 0 THEN ' prod' ELSE '' END AS text FROM documents) WHERE contains(lower(text), 'signal strength') OR contains(lower(source), 'mu_') OR contains(source, 'μ')
  OR (contains(lower(text), 'prod') AND contains(lower(text), 'decay')) OR contains(lower(text), 'coupling') GROUP BY lang"""
 
 

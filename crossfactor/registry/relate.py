@@ -10,7 +10,7 @@ from crossfactor.operators.fit import FitOptions
 from crossfactor.plans import cellsets
 from crossfactor.registry import sqltext as s
 from crossfactor.registry.fits import FIXED
-from crossfactor.session import keep
+from crossfactor.session import cut, keep
 
 
 # ---------------------------------------------------------------- replication
@@ -152,15 +152,15 @@ SELECT check_id, row_label AS matched_row, col_label AS matched_col, coalesce(ti
 
 
 def identity_report(spark, sf):
-    """Report over exact spot checks with one provenance warning for every matrix with thin cells."""
-    c = cellsets.priority_cells(spark, sf).withColumn("passed", F.col("total_err") / F.col("value") < 0.2)
-    warn = c.filter(F.col("n_obs") < 8).select("matrix_id")
-    return validate.identity_report(c, warn, ["matrix_id"]).select("matrix_id", "n_checks", "n_passed", F.col("n_warnings").cast("bigint").alias("n_warnings"), "all_passed")
+    """Report per nation over its spot checks, with one provenance warning for every one with thin cells."""
+    c = cut(spot_checks(spark, sf)).withColumn("row_idx", F.floor(F.col("check_id") / 1000).cast("int"))
+    warn = cellsets.order_value_cells(spark, sf).filter(F.col("n_obs") < 60).select("row_idx")
+    return validate.identity_report(c, warn, ["row_idx"]).select("row_idx", "n_checks", "n_passed", F.col("n_warnings").cast("bigint").alias("n_warnings"), "all_passed")
 
 
-IDENTITY = s.with_(s.CC) + """
-SELECT matrix_id, count(*) AS n_checks, count(*) FILTER (total_err / value < 0.2) AS n_passed, count(*) FILTER (n_obs < 8) AS n_warnings,
- count(*) FILTER (total_err / value < 0.2) = count(*) AND count(*) FILTER (n_obs < 8) = 0 AS all_passed FROM cc GROUP BY matrix_id"""
+IDENTITY = SPOT.replace("SELECT check_id, row_label AS matched_row", ", o AS (SELECT check_id, row_label AS matched_row") + """), t AS (SELECT row_idx, count(*) AS nw FROM ca WHERE n_obs < 60 GROUP BY row_idx),
+g AS (SELECT CAST(check_id // 1000 AS INTEGER) AS row_idx, count(*) AS n_checks, count(*) FILTER (passed) AS n_passed FROM o GROUP BY 1)
+SELECT row_idx, n_checks, n_passed, coalesce(nw, 0) AS n_warnings, n_passed = n_checks AND coalesce(nw, 0) = 0 AS all_passed FROM g LEFT JOIN t USING (row_idx)"""
 
 
 def rerun_compare(spark, sf):

@@ -9,7 +9,7 @@ from crossfactor.operators import checks, fit as fitops, presets, ranktest, repo
 from crossfactor.plans import analysis, cellsets
 from crossfactor.plans.flagship import order_value_test
 from crossfactor.registry import sqltext as s
-from crossfactor.registry.fits import FIXED
+from crossfactor.registry.fits import FIXED, _null_sql
 from crossfactor.schemas import FILE_RECORD, PUBLISHED_RECORD, PUBLISHED_TABLE
 from crossfactor.sources import files, observations, provenance, published
 
@@ -204,16 +204,36 @@ FROM lineitem GROUP BY 1, 2"""
 
 
 # --------------------------------------------------------------------- files
+def _page_files(spark, sf):
+    p = cellsets.table(spark, sf, "pages")
+    return files.content_manifest(p, F.concat(F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
+
+
 def manifest_sha256(spark, sf):
-    """SHA-256 and size of every file of the dataset folder."""
-    return files.manifest(spark, sf, "*.parquet").select("file", "sha256", "size_bytes")
+    """SHA-256 and size of every page as a file."""
+    return _page_files(spark, sf).select("file", "sha256", "size_bytes")
+
+
+MANIFEST = "SELECT page_id || '.html' AS file, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM pages"
 
 
 def checksum_verify(spark, sf):
-    """Every file against its own sum in three notations, one of them not recomputed."""
-    m = files.manifest(spark, sf, "*.parquet")
-    e = m.select("file", F.explode(F.array(F.concat(F.lit("md5:"), "md5"), F.col("sha256"), F.lit("adler32:0"), F.lit("sha1:0"))).alias("checksum"))
-    return files.verify_checksums(m, e).groupBy("algorithm", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Every page against a published sum: of its text in two notations, of its address (wrong), one kind that is not
+    recomputed, and every tenth under a name that is not there."""
+    p = cellsets.table(spark, sf, "pages")
+    kind = F.col("page_id") % 4
+    wanted = (
+        F.when(kind == 0, F.concat(F.lit("MD5:"), F.md5("html"))).when(kind == 1, F.sha2("html", 256))
+        .when(kind == 2, F.concat(F.lit("md5:"), F.md5("url"))).otherwise(F.lit("adler32:0"))
+    )
+    name = F.when(F.col("page_id") % 10 == 9, F.lit("lost-")).otherwise(F.lit(""))
+    e = p.select(F.concat(name, F.col("page_id").cast("string"), F.lit(".html")).alias("file"), wanted.alias("checksum"))
+    return files.verify_checksums(_page_files(spark, sf), e).groupBy("algorithm", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+CHECKSUMS = """SELECT CASE page_id % 4 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha256' WHEN 2 THEN 'md5' ELSE 'adler32' END AS algorithm,
+ CASE WHEN page_id % 10 = 9 THEN 'missing' WHEN page_id % 4 = 3 THEN 'skipped' WHEN page_id % 4 = 2 AND md5(url) <> md5(html) THEN 'mismatch' ELSE 'ok' END AS status,
+ count(*) AS n FROM pages GROUP BY 1, 2"""
 
 
 def page_records(spark, sf):
@@ -267,32 +287,41 @@ SELECT matrix_id, CASE WHEN matrix_id = '5-LOW' THEN 'placeholder' ELSE 'api' EN
 
 def content_hash(spark, sf):
     """Short content hash of every order's result row."""
-    o = cellsets.table(spark, sf, "orders")
-    return o.select("o_orderkey", F.substring(F.sha2(F.concat_ws("|", "o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")), 256), 1, 16).alias("hash"))
+    o = cellsets.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    return validate.result_hash(o, ["o_orderkey"])
 
 
-HASH = "SELECT o_orderkey, substr(sha256(o_orderstatus || '|' || o_orderpriority || '|' || CAST(o_custkey AS VARCHAR)), 1, 16) AS hash FROM orders"
+HASH = """SELECT o_orderkey, substr(sha256('{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '","o_custkey":' || o_custkey || '}'), 1, 16) AS hash
+FROM orders"""
 
 
 def reproducible(spark, sf):
-    """The rank test run twice, the second time on cells in another layout, compared row by row."""
+    """The null distribution drawn twice, the second time from cells in another layout, compared row by row, with the
+    first run's total; every third replicate of the second run is spoilt."""
     c = cellsets.order_value_cells(spark, sf)
     runs = []
     for cells in (c, c.repartition(5, "col_idx")):
         t = fitops.fit(cells, FIXED, unique=True)
         runs.append(ranktest.null_distribution(cells, t, 20, 42, FIXED).select("matrix_id", "replicate", "lambda_stat"))
-    d = validate.compare_runs(runs[0], runs[1], ["matrix_id", "replicate"], 1e-9, 1e-9)
-    return validate.reproducible(d, ["matrix_id"])
+    spoilt = runs[1].withColumn("lambda_stat", F.col("lambda_stat") + F.when(F.col("replicate") % 3 == 0, 1.0).otherwise(0.0))
+    d = validate.compare_runs(runs[0], spoilt, ["matrix_id", "replicate"], 1e-9, 1e-9)
+    total = runs[0].groupBy("matrix_id").agg(F.round(F.sum("lambda_stat"), 3).alias("total"))
+    return validate.reproducible(d, ["matrix_id"]).join(total, "matrix_id")
 
 
-REPRODUCIBLE = "SELECT 'orders' AS matrix_id, CAST(20 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different, TRUE AS passed FROM (SELECT count(*) FROM orders)"
+REPRODUCIBLE = _null_sql(20) + """
+SELECT matrix_id, count(*) AS n_rows, count(*) FILTER (replicate % 3 = 0) AS n_different, count(*) FILTER (replicate % 3 = 0) = 0 AS passed,
+ round(sum(lambda_stat), 3) AS total FROM b_lam GROUP BY matrix_id"""
 
 
 # ------------------------------------------------------------------- reports
 def _result(spark, sf):
-    t = fitops.fit(cellsets.priority_cells(spark, sf), FIXED, unique=True)
-    fake = t.summary.withColumn("p_value", F.lit(0.25)).withColumn("p_lower", F.lit(0.1)).withColumn("p_upper", F.lit(0.4))
-    return t, fake
+    cells = cellsets.priority_cells(spark, sf)
+    t = fitops.fit(cells, FIXED, unique=True)
+    p = ranktest.p_values(t.summary, ranktest.null_distribution(cells, t, 20, 42, FIXED))
+    # the exact interval has queries of its own; here a band that SQL can follow
+    p = p.withColumn("p_lower", F.col("p_value") / 2).withColumn("p_upper", F.least(F.lit(1.0), F.col("p_value") * 2))
+    return t, t.summary.drop("replicate").join(p, "matrix_id")
 
 
 def summary_table(spark, sf):
@@ -300,8 +329,13 @@ def summary_table(spark, sf):
 
 
 _LAM = s.with_(s.CC, s.als("cc", ["matrix_id"], 2, 6), s.lambdas(["matrix_id"]))
-SUMMARY = _LAM + """SELECT matrix_id AS dataset, n_rows || '×' || n_cols AS matrix_size, n_obs, printf('%.2f', chi2_rank1) AS chi2_r1, printf('%.2f', chi2_rank2) AS chi2_r2,
- printf('%.2f', lambda_stat) AS lambda, '0.2500' AS p_value, '[0.1000, 0.4000]' AS ci95, 'No' AS significant FROM f_lam"""
+SUMMARY = s.with_(
+    s.CC, s.als("cc", ["matrix_id"], 2, 6), s.lambdas(["matrix_id"]), s.pseudo("cc", ["matrix_id"], 20, 42),
+    s.als("ps", ["matrix_id", "replicate"], 2, 6, p="b"), s.lambdas(["matrix_id", "replicate"], p="b"),
+) + """, p AS (SELECT matrix_id, (count(*) FILTER (b_lam.lambda_stat >= f_lam.lambda_stat) + 1.0) / (count(*) + 1.0) AS p FROM b_lam JOIN f_lam USING (matrix_id) GROUP BY matrix_id)
+SELECT matrix_id AS dataset, n_rows || '×' || n_cols AS matrix_size, n_obs, printf('%.2f', chi2_rank1) AS chi2_r1, printf('%.2f', chi2_rank2) AS chi2_r2,
+ printf('%.2f', lambda_stat) AS lambda, printf('%.4f', p) AS p_value, '[' || printf('%.4f', p / 2) || ', ' || printf('%.4f', least(1.0, p * 2)) || ']' AS ci95,
+ CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM f_lam JOIN p USING (matrix_id)"""
 
 
 def chi2_table(spark, sf):
@@ -411,7 +445,18 @@ def mode_analysis(spark, sf):
 
 
 def flagship(spark, sf):
-    return order_value_test(spark, sf, n_bootstrap=100)
+    """The order-value test end to end, gates and reason included; the rounds are fixed, so the first gate speaks."""
+    out = order_value_test(spark, sf, n_bootstrap=20, opt=FIXED)
+    return out.select(
+        "matrix_id", "n_obs", F.round("chi2_rank1", 4).alias("chi2_rank1"), F.round("chi2_rank2", 4).alias("chi2_rank2"), "k", "n_used", "n_failed",
+        F.round("p_value", 9).alias("p_value"), "is_significant", "verdict", "verdict_reason",
+    )
+
+
+FLAGSHIP = _null_sql(20) + """, p AS (SELECT matrix_id, count(*) FILTER (b_lam.lambda_stat >= f_lam.lambda_stat) AS k, count(*) AS n FROM b_lam JOIN f_lam USING (matrix_id) GROUP BY matrix_id)
+SELECT matrix_id, n_obs, round(chi2_rank1, 4) AS chi2_rank1, round(chi2_rank2, 4) AS chi2_rank2, k, n AS n_used, CAST(0 AS BIGINT) AS n_failed,
+ round((k + 1.0) / (n + 1.0), 9) AS p_value, (k + 1.0) / (n + 1.0) < 0.05 AS is_significant, 'INCONCLUSIVE' AS verdict, 'one component: round limit reached' AS verdict_reason
+FROM f_lam JOIN p USING (matrix_id)"""
 
 
 ENTRIES = {
@@ -424,8 +469,8 @@ ENTRIES = {
     "histogram_source": (histogram_source, HISTOGRAM),
     "observation_json": (observation_json, OBS_JSON),
     "observation_roundtrip": (observation_roundtrip, ROUNDTRIP),
-    "manifest_sha256": (manifest_sha256, None),
-    "checksum_verify": (checksum_verify, None),
+    "manifest_sha256": (manifest_sha256, MANIFEST),
+    "checksum_verify": (checksum_verify, CHECKSUMS),
     "page_records": (page_records, PAGES),
     "provenance_flags": (provenance_flags, PROVENANCE),
     "content_hash": (content_hash, HASH),
@@ -441,5 +486,5 @@ ENTRIES = {
     "preset_catalogue": (preset_catalogue, CATALOGUE),
     "baseline_analysis": (baseline_analysis, None),
     "mode_analysis": (mode_analysis, None),
-    "flagship": (flagship, None),
+    "flagship": (flagship, FLAGSHIP),
 }

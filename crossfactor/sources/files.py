@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crossfactor.schemas import FILE_RECORD
 
@@ -16,6 +16,15 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def content_manifest(df: DataFrame, name: Column, content: Column) -> DataFrame:
+    """The same figures for contents that lie in a column: one row per row, hashed where it is read."""
+    raw = content.cast("binary")
+    return df.select(
+        name.alias("path"), name.alias("file"), F.sha2(raw, 256).alias("sha256"), F.md5(raw).alias("md5"), F.sha1(raw).alias("sha1"),
+        F.octet_length(raw).cast("long").alias("size_bytes"),
+    )
+
+
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
     """Compare a manifest with ``expected(file, checksum)`` where the checksum reads 'algorithm:hash' or a bare SHA-256.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,8 @@ from crossfactor.llm.tables import class_sample, fold, table
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 MARKS = frozenset(".!?\n")
 BITS, LONGEST = 16, 48
-#: Tokens scored at once, characters split at once, and entries after which a worker's cache of words starts anew.
-TOKENS, SLICE, CACHE = 200_000, 1 << 20, 500_000
+#: Tokens scored at once, characters split at once, entries after which a worker's cache of words starts anew, chains in a matrix.
+TOKENS, SLICE, CACHE, CHAINS = 200_000, 1 << 20, 500_000, 8192
 
 
 def parts(word: str) -> list[str]:
@@ -45,16 +45,18 @@ def segments(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chains(chain: np.ndarray, place: np.ndarray):
-    """Index matrices ``[chains, steps]`` of chains of about the same length, -1 where a chain has ended."""
+    """Index matrices ``[chains, steps]`` of some chains of about the same length, -1 where a chain has ended."""
     if not len(chain):
         return
     first = np.flatnonzero(place == 0)
     length = np.diff(np.r_[first, len(chain)])
     for low, high in ((0, 4), (4, 8), (8, 16), (16, 32), (32, LONGEST)):
-        own = np.flatnonzero((length > low) & (length <= high))
-        if len(own):
-            at = first[own][:, None] + np.arange(high)[None, :]
-            yield np.where(np.arange(high)[None, :] < length[own][:, None], at, -1)
+        same = np.flatnonzero((length > low) & (length <= high))
+        for i in range(0, len(same), CHAINS):
+            own, steps = same[i : i + CHAINS], np.arange(high, dtype=np.int32)[None, :]
+            at = first[own].astype(np.int32)[:, None] + steps
+            at[steps >= length[own][:, None]] = -1
+            yield at
 
 
 def marginals(score: np.ndarray, at: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,6 +81,20 @@ def marginals(score: np.ndarray, at: np.ndarray, move: np.ndarray) -> tuple[np.n
     return np.where(at >= 0, odds / (1 + odds), 0.0), ahead, back
 
 
+class _Scores(dict):
+    """Token -> log ratio, filled on demand."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        if len(self) > CACHE:
+            self.clear()
+        s = self[token] = np.nan if token in MARKS else float(self.weights[features(token)].sum() + self.weights[-1])
+        return s
+
+
 @dataclass
 class Model:
     """Weights of hashed word parts, of the four moves, and of the four figures that make a document's score."""
@@ -86,23 +102,19 @@ class Model:
     weights: np.ndarray
     move: np.ndarray
     document: np.ndarray
-    cache: dict = field(default_factory=dict, repr=False)
+
+    def __post_init__(self):
+        self.cache = _Scores(self.weights)
 
     def __getstate__(self):
-        return {"weights": self.weights, "move": self.move, "document": self.document, "cache": {}}
+        return {"weights": self.weights, "move": self.move, "document": self.document}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
 
     def token_scores(self, tokens: list[str]) -> np.ndarray:
         """Log ratio of every token, not a number for a mark."""
-        get, known = self.cache.get, self.cache
-        out = np.empty(len(tokens))
-        for i, t in enumerate(tokens):
-            s = get(t)
-            if s is None:
-                if len(known) > CACHE:
-                    known.clear()
-                s = known[t] = np.nan if t in MARKS else float(self.weights[features(t)].sum() + self.weights[-1])
-            out[i] = s
-        return out
+        return np.fromiter(map(self.cache.__getitem__, tokens), np.float64, len(tokens))
 
     def tag(self, score: np.ndarray) -> np.ndarray:
         """Probability of toxic for every token, 0 for marks."""
@@ -133,57 +145,82 @@ def figures(most: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([most, np.log1p(total), np.log1p(n), np.ones(len(n))], axis=1)
 
 
-def lexicon(tokens: list[list[str]], toxic: np.ndarray, least: float = 20.0, precision: float = 0.8) -> set[str]:
-    """Word parts that mark toxic documents: far more often in those than chance allows, and seldom elsewhere."""
-    seen: dict[str, list[int]] = {}
-    for words, y in zip(tokens, toxic.tolist()):
-        for p in {p for w in {w.lower() for w in words} if w not in MARKS for p in parts(w)}:
-            seen.setdefault(p, [0, 0])[y] += 1
-    base = min(max(float(toxic.mean()), 1e-9), 1 - 1e-9)
-    out = set()
-    for p, (n0, n1) in seen.items():
-        n = n0 + n1
-        share = n1 / n
-        if n1 >= 3 and share >= max(precision, base):
-            gain = n1 * np.log(share / base) + (n0 * np.log((1 - share) / (1 - base)) if n0 else 0.0)
-            if 2 * gain >= least:
-                out.add(p)
-    return out
-
-
-def train_tagger(tokens: list[list[str]], labels: list[np.ndarray], epochs: int = 6, rate: float = 0.5, l2: float = 1e-4, seed: int = 5, most: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sample:
+    """Documents as arrays of word numbers, and the table of their words: a few integers a word, however often it occurs."""
+
+    docs: list[np.ndarray]
+    words: list[str]
+    mark: np.ndarray
+    features: np.ndarray  # hashed, padded by 1 << BITS
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Sample:
+        """From texts whose tokens are joined by tabs."""
+        place: dict[str, int] = {"\n": 0}
+        docs = [np.array([place.setdefault(w, len(place)) for w in t.split("\t") if w], np.int32) for t in texts]
+        words = list(place)
+        mark = np.array([w in MARKS for w in words])
+        table = np.full((len(words), 8), 1 << BITS, np.int32)
+        for i, w in enumerate(words):
+            if not mark[i]:
+                f = features(w)
+                table[i, : len(f)] = f
+        return cls(docs, words, mark, table)
+
+    def marked(self, toxic: np.ndarray, least: float = 20.0, precision: float = 0.8) -> np.ndarray:
+        """The words with a part that marks toxic documents: far more often in those than chance allows, and seldom
+        elsewhere. Each document counts a part once."""
+        own = np.zeros((len(self.words), 6), np.uint64)  # 64 bits of each part, 0 where a word has fewer
+        for i, w in enumerate(self.words):
+            if not self.mark[i]:
+                p = [xxhash.xxh64_intdigest(x.encode()) for x in parts(w)]
+                own[i, : len(p)] = p
+        number, own = np.unique(own, return_inverse=True)
+        own = own.reshape(len(self.words), 6).astype(np.int32)
+        seen = np.zeros((2, len(number)))
+        for d, y in zip(self.docs, toxic.tolist()):
+            seen[y, np.unique(own[np.unique(d)])] += 1
+        seen[:, number == 0] = 0
+        base = min(max(float(toxic.mean()), 1e-9), 1 - 1e-9)
+        n0, n1 = seen
+        share = n1 / np.maximum(n0 + n1, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = n1 * np.log(share / base) + np.where(n0 > 0, n0 * np.log((1 - share) / (1 - base)), 0.0)
+        telling = (n1 >= 3) & (share >= max(precision, base)) & (2 * gain >= least)
+        return telling[own].any(axis=1)
+
+
+def train_tagger(sample: Sample, labels: list[np.ndarray], epochs: int = 6, rate: float = 0.5, l2: float = 1e-4, seed: int = 5, most: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
     """Fits the field to labelled tokens by stochastic gradient: expected minus observed features and moves.
 
     All chains with a toxic token are used and, up to ``most`` in all, others.
     """
-    flat = [t for doc in tokens for t in [*doc, "\n"]]
-    mark = np.array([t in MARKS for t in flat], bool)
-    y = np.concatenate([np.r_[x, 0] for x in labels])[~mark].astype(float) if flat else np.zeros(0)
-    known = {t: features(t) for t in set(flat) - MARKS}
-    feats = [known[t] for t, m in zip(flat, mark) if not m]
-    width = max(map(len, feats), default=1)
-    size = 1 << BITS
-    f = np.array([x + [size] * (width - len(x)) for x in feats], np.int64).reshape(-1, width)  # ``size``: no feature
-    w, square = np.zeros(size + 2), np.full(size + 2, 1e-2)  # the last is the constant
+    flat = np.concatenate([np.append(d, 0) for d in sample.docs])
+    y = np.concatenate([np.append(x, False) for x in labels])
+    mark = sample.mark[flat]
+    flat, y = flat[~mark], y[~mark]
+    size, width = 1 << BITS, sample.features.shape[1]
+    w, square = np.zeros(size + 2), np.full(size + 2, 1e-2)  # the last is the constant, the one before it stays 0
     move, move_square = np.zeros((2, 2)), np.full((2, 2), 1e-2)
     rng = np.random.default_rng(seed)
     chain, place = segments(mark)
-    groups = list(chains(chain, place))
-    kept = []
-    n_all = sum(len(g) for g in groups) or 1
-    for g in groups:
-        hot = (np.where(g >= 0, y[g], 0).sum(axis=1) > 0) | (rng.random(len(g)) < most / n_all)
+    n_all, kept = max(1, int((place == 0).sum())), []
+    for g in chains(chain, place):
+        hot = ((g >= 0) & y[g]).any(axis=1) | (rng.random(len(g)) < most / n_all)
         kept += [g[hot][i : i + 256] for i in range(0, int(hot.sum()), 256)]
+    del chain, place
     score = np.zeros(len(y))
     for _ in range(epochs):
         for k in rng.permutation(len(kept)):
             at = kept[k]
             on = at >= 0
             tok = at[on]
-            score[tok] = w[f[tok]].sum(axis=1) + w[-1]
+            f = sample.features[flat[tok]]
+            score[tok] = w[f].sum(axis=1) + w[-1]
             p, ahead, back = marginals(score, at, move)
-            g = (p[on] - y[tok]) / len(at)
-            grad = np.bincount(f[tok].ravel(), weights=np.repeat(g, width), minlength=size + 2)
+            g = (p[on] - y[tok].astype(float)) / len(at)
+            grad = np.bincount(f.ravel(), weights=np.repeat(g, width), minlength=size + 2)
             grad[-1] = g.sum()
             grad[size] = 0.0
             grad += l2 * w
@@ -200,26 +237,24 @@ def train_tagger(tokens: list[list[str]], labels: list[np.ndarray], epochs: int
             grad = (want - have) / len(at) + l2 * move
             move_square += grad * grad
             move = move - 0.2 * rate * grad / np.sqrt(move_square)
-    w[size] = 0.0
     return np.r_[w[:size], w[-1]], move
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, weight: np.ndarray, **options) -> Model:
-    """From documents as token lists, their labels, and the number of documents that each stands for.
+def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, **options) -> Model:
+    """From documents as tokens joined by tabs, their labels, and the number of documents that each stands for.
 
     Token labels: in a toxic document, the words with a part in the lexicon are toxic; all other words are clean. The
     document score is a logistic function of the highest marginal, the sum of marginals and the length.
     """
     if not len(toxic):
         return Model(np.zeros((1 << BITS) + 1), np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -20.0]))
-    marked = lexicon(texts, toxic)
-    labels = []
-    for words, y in zip(texts, toxic):
-        labels.append(np.array([1.0 if y and w not in MARKS and any(p in marked for p in parts(w)) else 0.0 for w in words]))
-    w, move = train_tagger(texts, labels, **options)
+    sample = Sample.of(texts)
+    marked = sample.marked(toxic)
+    w, move = train_tagger(sample, [marked[d] & bool(y) for d, y in zip(sample.docs, toxic)], **options)
     model = Model(w, move, np.zeros(4))
-    p = [model.tag(model.token_scores(words)) for words in texts]
-    x = figures(np.array([q.max(initial=0) for q in p]), np.array([q.sum() for q in p]), np.array([len(t) for t in texts], float))
+    score = model.token_scores(sample.words)
+    p = [model.tag(score[d]) for d in sample.docs]
+    x = figures(np.array([q.max(initial=0) for q in p]), np.array([q.sum() for q in p]), np.array([len(q) for q in p], float))
     beta = np.zeros(4)
     for _ in range(50):  # Newton steps of a weighted, slightly damped logistic fit
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -254,9 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_tokens:
     y = np.array([r["toxic"] for r in rows], np.int64)
     got = np.bincount(y, minlength=2)
     weight = np.array([counts.get(int(v), 0) / max(1, got[int(v)]) for v in y])
-    same: dict[str, str] = {}
-    tokens = [[same.setdefault(w, w) for w in r["t"].split("\t") if w] for r in rows]
-    return train(tokens, y, weight, **options)
+    return train([r["t"] for r in rows], y, weight, **options)
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text"):

@@ -109,6 +109,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 4.0
     e = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     w = rng.uniform(-1 / DIM, 1 / DIM, (DIM, len(labels))).astype(np.float32)
     bias = np.zeros(len(labels), np.float32)
+    epochs = max(epochs, -(-20_000 // max(1, len(rest))))  # a small sample is read oftener
     steps, done = max(1, epochs * -(-len(rest) // 32)), 0
     for _ in range(epochs):
         rest = rng.permutation(rest)

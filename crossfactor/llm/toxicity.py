@@ -102,12 +102,13 @@ class Model:
     weights: np.ndarray
     move: np.ndarray
     document: np.ndarray
+    span: tuple[float, float] = (0.0, 0.0)
 
     def __post_init__(self):
         self.cache = _Scores(self.weights)
 
     def __getstate__(self):
-        return {"weights": self.weights, "move": self.move, "document": self.document}
+        return {"weights": self.weights, "move": self.move, "document": self.document, "span": self.span}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -141,8 +142,9 @@ def words_of(text: str):
         at = stop
 
 
-def figures(most: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.stack([most, np.log1p(total), np.log1p(n), np.ones(len(n))], axis=1)
+def figures(most: np.ndarray, total: np.ndarray, n: np.ndarray, span: tuple[float, float]) -> np.ndarray:
+    """What a document is scored by; lengths outside the span that was learned from count as its ends."""
+    return np.stack([most, np.log1p(total), np.log1p(np.clip(n, *span)), np.ones(len(n))], axis=1)
 
 
 @dataclass
@@ -251,10 +253,11 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, **options) ->
     sample = Sample.of(texts)
     marked = sample.marked(toxic)
     w, move = train_tagger(sample, [marked[d] & bool(y) for d, y in zip(sample.docs, toxic)], **options)
-    model = Model(w, move, np.zeros(4))
+    n = np.array([len(d) for d in sample.docs], float)
+    model = Model(w, move, np.zeros(4), (float(n.min()), float(n.max())))
     score = model.token_scores(sample.words)
     p = [model.tag(score[d]) for d in sample.docs]
-    x = figures(np.array([q.max(initial=0) for q in p]), np.array([q.sum() for q in p]), np.array([len(q) for q in p], float))
+    x = figures(np.array([q.max(initial=0) for q in p]), np.array([q.sum() for q in p]), n, model.span)
     beta = np.zeros(4)
     for _ in range(50):  # Newton steps of a weighted, slightly damped logistic fit
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -333,7 +336,7 @@ def score_column(spark: SparkSession, model: Model, text: str = "text"):
                     rows = 0
         if held:
             flush()
-        z = figures(top, total, count) @ m.document
+        z = figures(top, total, count, m.span) @ m.document
         return pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(z, -30, 30))), "spans": spans})
 
     return score(F.col(text))

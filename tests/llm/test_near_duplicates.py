@@ -158,7 +158,7 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, piece):
     lab = np.array([r[2] for r in rows[:n]])
     near = (x @ x.T >= 0.98) & (lab[:, None] == lab[None, :]) & ~np.eye(n, dtype=bool)
     label = brute_groups(n, list(zip(*np.nonzero(near))))
-    ok = got[got.vec_id.notna()].set_index("vec_id")
+    ok = got[got.vec_id.notna()].set_index("vec_id").sort_index()
     assert ok.n_links.loc[: n - 1].tolist() == near.sum(axis=1).tolist()
     assert ok.component_id.loc[: n - 1].astype(int).tolist() == label
     assert (ok.loc[200:].n_links == 0).all() and ok.loc[200:].kept.all() and (ok.loc[200:].component_id == ok.loc[200:].index).all()

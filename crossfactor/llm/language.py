@@ -89,8 +89,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 4.0, seed: int = 3, target: float = 0.99) -> Model:
-    """Stochastic gradient descent over the texts; a fifth of them is held back to calibrate the probabilities.
+def train(texts: list[str], langs: list[str], owner: list[int] | None = None, epochs: int = 4, rate: float = 4.0, seed: int = 3, target: float = 0.99) -> Model:
+    """Stochastic gradient descent over the texts; those of a fifth of their owners (by default each its own) are held
+    back to calibrate the probabilities.
 
     The temperature is the one of the least log loss on that fifth; a prediction is rejected below the least
     probability from which at least ``target`` of that fifth's predictions are right.
@@ -104,7 +105,10 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 4.0
     use = np.array([len(b) > 0 for b in bags])
     order = rng.permutation(len(bags))
     order = order[use[order]]
-    held, rest = order[: len(order) // 5], order[len(order) // 5 :]
+    owner = np.arange(len(texts)) if owner is None else np.array(owner)
+    whose = rng.permutation(np.unique(owner[order]))
+    back = np.isin(owner[order], whose[: len(whose) // 5])
+    held, rest = order[back], order[~back]
     size = 1 << BITS
     e = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     w = rng.uniform(-1 / DIM, 1 / DIM, (DIM, len(labels))).astype(np.float32)
@@ -152,7 +156,7 @@ def fit(docs: DataFrame, per_class: int = 1500, chars: int = 600, max_classes: i
     rows = rows.select("doc_id", "lang", F.col("text").substr(start, F.lit(chars)).alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     texts = [r["text"] for r in rows] + [r["text"][: 20 + 10 * (i % 10)] for i, r in enumerate(rows)]
-    return train(texts, [r["lang"] for r in rows] * 2, **options)
+    return train(texts, [r["lang"] for r in rows] * 2, [*range(len(rows))] * 2, **options)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

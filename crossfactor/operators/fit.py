@@ -600,12 +600,15 @@ def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, fo
         cells = keep(collapse(obs))
     if form == "relational":
         tables = fit_relational(cells, opt)
-        tables.extra["large"] = cells.select(*key_columns(cells)).distinct()
+        tables.extra["large"] = cut(cells.select(*key_columns(cells)).distinct())
+        cells.unpersist()
         return tables
     small, large, total = split_by_size(cells, opt.group_max_cells if form == "auto" else 2**62)
     blocks = small.withColumn("rep0", F.col("replicate"))
     tables = tables_from_blocks(cut(fit_blocks(blocks, opt, True, total)), opt) if total else None
-    return _with_large(tables, large, opt)
+    tables = _with_large(tables, large, opt)
+    cells.unpersist()  # what the result needs of it is stored
+    return tables
 
 
 def _with_large(tables: FitTables | None, large: DataFrame | None, opt: FitOptions, starts: bool = False) -> FitTables:
@@ -613,7 +616,7 @@ def _with_large(tables: FitTables | None, large: DataFrame | None, opt: FitOptio
     if large is not None:
         other = fit_relational(large, opt, starts)
         tables = other if tables is None else merge(tables, other)
-        tables.extra["large"] = large.select(*key_columns(large)).distinct()
+        tables.extra["large"] = cut(large.select(*key_columns(large)).distinct())
     if tables is None:
         raise ValueError("no cells to fit")
     return tables
@@ -638,9 +641,12 @@ def multistart(obs: DataFrame, n_starts: int, seed: int = 42, opt: FitOptions =
         .withColumn("s2", hashed_normal(*base, "start2"))
         .withColumn("rep0", F.col("replicate"))
     )
-    small, large, total = split_by_size(keep(many), opt.group_max_cells)
+    many = keep(many)
+    small, large, total = split_by_size(many, opt.group_max_cells)
     tables = tables_from_blocks(cut(fit_blocks(small, opt, True, total, starts=True)), opt) if total else None
-    return _with_large(tables, large, opt, starts=True)
+    tables = _with_large(tables, large, opt, starts=True)
+    many.unpersist()
+    return tables
 
 
 # ------------------------------------------------------------------ prediction

@@ -248,6 +248,16 @@ def ordered_labels(spark: SparkSession, labels: list[str]) -> DataFrame:
     return spark.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, ord int")
 
 
+def source_cells(
+    sources: dict[str, DataFrame], cuts: dict, row_label: Column, col_label: Column, matrix_id: str = "all", share: float = 0.1
+) -> DataFrame:
+    """Cells of several tagged sources: appended, cut to ranges, errors completed by a share of the value, binned by labels
+    printed from their numbers. Positions are left to ``index_labels``, after any aggregation."""
+    u = tagged_union(sources).filter(range_cuts(cuts))
+    u = u.withColumn("total_err", default_error(F.col("stat_err"), F.col("value"), share)).withColumn("matrix_id", F.lit(matrix_id))
+    return binned_cells(u, row_label, col_label)
+
+
 def evenly_spaced(df: DataFrame, by: list[str], idx: str, k: int) -> DataFrame:
     """Rows whose index is one of ``k`` evenly spaced positions of their group."""
     n = df.groupBy(*by).agg((F.max(idx) + 1).alias("_n"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crossfactor.functions.scalars import default_error
 from crossfactor.operators import cells as cellops, checks, wrangle
 from crossfactor.plans import cellsets
 from crossfactor.registry import sqltext as s
@@ -43,9 +42,7 @@ def cut_and_bin(spark, sf):
     line = cellsets.table(spark, sf, "lineitem")
     a = line.filter(F.col("l_linestatus") == "F").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("value"))
     b = line.filter(F.col("l_linestatus") == "O").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("value"), (F.col("l_extendedprice") * 0.05).alias("stat_err"))
-    u = wrangle.tagged_union({"F": a, "O": b}).filter(wrangle.range_cuts(_CUTS))
-    u = u.withColumn("total_err", default_error(F.col("stat_err"), F.col("value"), 0.1)).withColumn("matrix_id", F.lit("all"))
-    u = wrangle.binned_cells(u, F.format_string("q=%.1f_d=%.3f", F.col("l_quantity"), F.col("l_discount")), F.format_string("tax=%.5f", F.col("l_tax")))
+    u = wrangle.source_cells({"F": a, "O": b}, _CUTS, F.format_string("q=%.1f_d=%.3f", F.col("l_quantity"), F.col("l_discount")), F.format_string("tax=%.5f", F.col("l_tax")))
     cells = cut(u.groupBy("matrix_id", "source", "row_label", "col_label").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.max("total_err"), 4).alias("max_err")
     ))

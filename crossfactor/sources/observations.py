@@ -64,11 +64,17 @@ _JSON = (
 )
 
 
-def documents_json(obs: DataFrame, cov: DataFrame | None = None) -> DataFrame:
+def documents_json(obs: DataFrame, cov: DataFrame | None = None, most: int = 1_000_000) -> DataFrame:
     """One JSON document per matrix, meant for matrices that people exchange as files.
 
-    The document holds its matrix in one row, so this is for small matrices; parquet is the format for all others.
+    The document holds its matrix in one row, so it is refused, before anything is gathered, when a matrix has more than
+    ``most`` observations or covariance entries; parquet is the format for those.
     """
+    for frame in (obs, cov):
+        if frame is not None:
+            large = frame.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).limit(5).collect()
+            if large:
+                raise ValueError(f"too large for one document: {', '.join(str(r['matrix_id']) for r in large)}")
     cells = obs.groupBy("matrix_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "row_idx", "col_idx", "value", *_ERRORS, *_LABELS))), lambda x: x.dropFields("seq")

@@ -100,3 +100,11 @@ def test_agreement_of_starts_from_gram_matrices(spark, synthetic, rank):
     m = [pred[pred.start == s].sort_values(["row_idx", "col_idx"]).pred.to_numpy() for s in order]
     want = max(np.linalg.norm(m[i] - m[k]) / np.linalg.norm(m[i]) for i in range(3) for k in range(i + 1, 3))
     assert got == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_large_documents_are_refused(spark):
+    from crossfactor.sources import observations
+
+    obs = spark.range(20).select(F.lit("m").alias("matrix_id"), F.col("id").alias("seq"))
+    with pytest.raises(ValueError, match="m"):
+        observations.documents_json(obs, most=10)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfactor.llm.tables import partitions
+from crossfactor.llm.tables import join_small, partitions
 
 
 def tile_rows(rows: DataFrame, bucket: list[str], spread: str, most: int) -> DataFrame:
@@ -21,7 +21,7 @@ def tile_rows(rows: DataFrame, bucket: list[str], spread: str, most: int) -> Dat
     """
     large = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     large = large.withColumn("_g", F.ceil(F.col("_n") / F.lit(most)).cast("int")).drop("_n")
-    out = rows.join(large, bucket, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
+    out = join_small(rows, large, bucket, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
     out = out.withColumn("_own", F.pmod(F.xxhash64(F.col(spread)), F.col("_g")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     return out.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other")).drop("_g", "_other")

@@ -53,10 +53,11 @@ def link_vectors(vectors: DataFrame, min_cosine: float = 0.98, recall: float = 0
     copies cost one row; each is linked to all others. A row repeated under its own id counts as another vector.
     ``n_links`` counts the links found; every one is exact, and one at the threshold is found with chance ``recall``.
     """
-    parts = F.col("embedding").cast("array<double>")
+    parts, kind = F.col("embedding"), vectors.schema["embedding"].dataType.elementType
     good = F.coalesce((F.size(parts) > 0) & F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(parts, lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are the same direction
-    rows = vectors.select("vec_id", F.transform(parts, lambda x: x + F.lit(0.0)).alias("v"), "label", (good & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("ok"))
+    # vectors travel in their own type and are made double where they are compared
+    rows = vectors.select("vec_id", F.transform(parts, lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x)).alias("v"), "label", (good & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("ok"))
     rows = rows.withColumn("key", F.when(F.col("ok"), F.xxhash64("label", "v")))
     points = cut(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("key").alias("key")))
     widest = points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
@@ -69,7 +70,7 @@ def link_vectors(vectors: DataFrame, min_cosine: float = 0.98, recall: float = 0
         for i, v in enumerate(vs):
             by.setdefault(len(v), []).append(i)
         for at in by.values():
-            x = np.array([vs.iloc[i] for i in at])
+            x = np.array([vs.iloc[i] for i in at], np.float64)
             for i, c in zip(at, cells(_unit(x), k, n_tables, WIDTH, seed)):
                 out[i] = c
         return pd.Series(out)
@@ -89,7 +90,7 @@ def link_vectors(vectors: DataFrame, min_cosine: float = 0.98, recall: float = 0
             if e - s < 2:
                 continue
             d = dims[s]
-            x = _unit(values[begin[s] : begin[s] + d * (e - s)].reshape(e - s, d))
+            x = _unit(values[begin[s] : begin[s] + d * (e - s)].astype(np.float64).reshape(e - s, d))
             near = (x @ x.T) >= min_cosine
             if a[s] != b[s]:
                 near &= own[s:e, None] != own[None, s:e]

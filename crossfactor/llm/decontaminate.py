@@ -95,7 +95,7 @@ def _slots(slot: np.ndarray, value: np.ndarray, at: int) -> list[int]:
 
 
 def windows_of(text: str, codes: Codes, bits: np.ndarray | None = None):
-    """``(hash, place, slots)`` of a text's telling windows that pass the filter; the first of each hash in a slice."""
+    """``(hash, place, slots)`` of a text's telling windows that pass the filter; those where slices meet may come twice."""
     at, carry, done = 0, np.zeros(0, np.uint64), 0
     while at < len(text):
         stop = min(len(text), at + SLICE)
@@ -109,11 +109,8 @@ def windows_of(text: str, codes: Codes, bits: np.ndarray | None = None):
         if bits is not None:
             word = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
             telling &= (word >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
-        hit = np.flatnonzero(telling)
-        if len(hit):
-            _, first = np.unique(h[hit], return_index=True)
-            for i in hit[np.sort(first)].tolist() if bits is not None else hit.tolist():
-                yield int(h[i].view(np.int64)), done + i, _slots(slot, value, i)
+        for i in np.flatnonzero(telling).tolist():
+            yield int(h[i].view(np.int64)), done + i, _slots(slot, value, i)
         # the next slice begins with the last tokens of this one (a mark before them tells how a sentence opens)
         keep = c[-4 * WINDOW :]
         carry = keep if at < len(text) else carry
@@ -160,15 +157,61 @@ def _reach(places: str):
     return F.aggregate(F.array_sort(places), zero, step)
 
 
+def _extent(places: set[int], size: int) -> tuple[float, int]:
+    """What ``_reach`` tells of window places: share of the item's words, longest run of words."""
+    last, run, best, covered = -WINDOW, 0, 0, 0
+    for p in sorted(places):
+        run = run + 1 if p == last + 1 else WINDOW
+        best, covered, last = max(best, run), covered + min(WINDOW, p - last), p
+    return covered / size, best
+
+
+def _mapping(windows, known: dict[int, int]) -> dict[int, int] | None:
+    """The item's values and those that stand for them in the document, none if one has two."""
+    out = dict(known)
+    for w in windows:
+        for mine, theirs in zip(w["slots"], w["theirs"]):
+            if out.setdefault(mine, theirs) != theirs:
+                return None
+    return out
+
+
+def judge(windows, size: int) -> tuple[float, int, bool]:
+    """``(covered, run, exact)`` of an item in a document, from all windows they share, at their best.
+
+    A window with the item's own values always counts. Others count by alignment (document place minus item place): those
+    of one alignment if their values agree, and those of further alignments whose values agree with the larger ones.
+    """
+    equal, by = set(), {}
+    for w in windows:
+        if list(w["slots"]) == list(w["theirs"]):
+            equal.add(w["pos"])
+        for place in w["places"] if len(w["slots"]) else ():
+            by.setdefault(place - w["pos"], []).append(w)
+    sets, merged, known = [equal], set(equal), {}
+    for own in sorted(by.values(), key=len, reverse=True):
+        if _mapping(own, {}) is None:
+            continue
+        places = {w["pos"] for w in own}
+        if not places <= equal:
+            sets.append(equal | places)
+        if (wider := _mapping(own, known)) is not None:
+            merged, known = merged | places, wider
+    sets.append(merged)
+    found = lambda e: e[0] >= COVER or e[1] >= RUN
+    best = max(sets, key=lambda x: (found(e := _extent(x, size)), *e))
+    return *_extent(best, size), best <= equal
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, item_id, covered, run, kind)``: which benchmark items stand in which rows of ``docs``.
 
     Windows of five words (numbers, names, and units after numbers as typed placeholders) are joined by hash. An item is
-    found in a document when the windows they share cover 0.8 of its words or a run of 13 of them. The values behind the
-    placeholders must agree: wherever an item has the same value, the document must have one and the same; if not, only
-    windows without placeholders count. ``kind``: ``exact`` if all values are equal, else ``reparameterised``.
+    found in a document when the windows they share cover 0.8 of its words or a run of 13 of them. Windows with the item's
+    own values always count. Where values differ they must agree by alignment: wherever an item has the same value, the
+    document must have one and the same. ``kind``: ``exact`` if all values are equal, else ``reparameterised``.
     Null and short texts (fewer than five words) match nothing, on either side; repeated rows and items repeat. Only
-    windows that pass a filter of bounded size leave a document, each once; how many items there are changes only how
+    windows that pass a filter of bounded size leave a document, each of the same values once with its places; how many items there are changes only how
     many windows pass.
     """
     items, row = numbered(benchmark.select("item_id", "text"))
@@ -176,30 +219,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text")
     known = cut(item_windows(items))
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(known))  # FILTER_BITS bits
 
-    @F.pandas_udf("array<struct<h:long,slots:array<long>>>")
+    @F.pandas_udf("array<struct<h:long,slots:array<long>,places:array<int>>>")
     def passing(texts: pd.Series) -> pd.Series:
         codes, out = Codes(), []
         for t in texts:
-            first: dict[int, list[int]] = {}
-            for h, _, slots in windows_of(t or "", codes, bits.value):
-                first.setdefault(h, slots)
-            out.append(list(first.items()))
+            held: dict[tuple, set[int]] = {}
+            for h, place, slots in windows_of(t or "", codes, bits.value):
+                at = held.setdefault((h, *slots), set())
+                if slots:
+                    at.add(place)
+            out.append([(h, slots, sorted(at)) for (h, *slots), at in held.items()])
         return pd.Series(out)
 
     seen = docs.select(F.col(key).alias("_key"), F.explode(passing(F.col(text))).alias("w"))
-    seen = seen.select("_key", F.col("w.h").alias("h"), F.col("w.slots").alias("theirs"))
+    seen = seen.select("_key", F.col("w.h").alias("h"), F.col("w.slots").alias("theirs"), F.col("w.places").alias("places"))
     pairs = join_small(seen, known, "h")
-    plain = F.size("slots") == 0
-    groups = pairs.withColumn("_z", F.arrays_zip("slots", "theirs")).groupBy("_key", "item").agg(
-        F.first("size").alias("size"), F.collect_set("pos").alias("all"), F.collect_set(F.when(plain, F.col("pos"))).alias("plain"),
-        F.flatten(F.collect_set("_z")).alias("z"),
+    groups = pairs.groupBy("_key", "item").agg(
+        F.first("size").alias("size"), F.collect_set("pos").alias("all"), F.collect_list(F.struct("pos", "slots", "theirs", "places")).alias("w")
     )
-    z = F.array_distinct("z")
-    mine, both = F.array_distinct(F.transform(z, lambda x: x["slots"])), z
-    agrees = F.size(mine) == F.size(both)
-    equal = F.forall(z, lambda x: x["slots"] == x["theirs"])
-    out = groups.withColumn("_r", F.when(agrees, _reach("all")).otherwise(_reach("plain")))
-    out = out.select("_key", "item", (F.col("_r.covered") / F.col("size")).alias("covered"), F.col("_r.best").cast("long").alias("run"), F.when(equal, F.lit("exact")).otherwise(F.lit("reparameterised")).alias("kind"))
+    # what all windows together do not reach, no part of them does
+    groups = groups.withColumn("_r", _reach("all")).where((F.col("_r.covered") / F.col("size") >= COVER) | (F.col("_r.best") >= RUN))
+
+    @F.pandas_udf("covered double, run long, exact boolean")
+    def judged(windows: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judge(w, n) for w, n in zip(windows, sizes)], columns=["covered", "run", "exact"])
+
+    out = groups.select("_key", "item", judged("w", "size").alias("_r"))
+    out = out.select("_key", "item", "_r.covered", "_r.run", F.when(F.col("_r.exact"), F.lit("exact")).otherwise(F.lit("reparameterised")).alias("kind"))
     out = out.where((F.col("covered") >= COVER) | (F.col("run") >= RUN))
     out = join_small(out, items.select("item", "item_id"), "item")
     return out.select(F.col("_key").alias(key), "item_id", "covered", "run", "kind")

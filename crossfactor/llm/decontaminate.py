@@ -30,6 +30,8 @@ PLAIN, TITLE, NUMBER, UNIT, MARK = range(5)
 WINDOW, LEAST_PLAIN, COVER, RUN = 5, 3, 0.8, 13
 #: Bits of the filter that spares documents' windows the join, characters read at once, entries of a worker's cache.
 FILTER_BITS, SLICE, CACHE = 24, 1 << 20, 1_000_000
+#: Keeps hashes of windows as they stand apart from those of templates.
+EXACT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _code(token: str) -> int:
@@ -74,19 +76,24 @@ def templates(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token[inner], slot[inner], codes[inner]
 
 
-def window_hashes(token: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window at every place, and whether it has enough plain words to tell anything."""
-    n = len(token) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+def _hashes(token: np.ndarray, length: int) -> np.ndarray:
+    n = max(0, len(token) - length + 1)
+    h = np.full(n, length, np.uint64)
+    for k in range(length):
         h = h * np.uint64(0x9E3779B97F4A7C15) + token[k : k + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    return h ^ h >> np.uint64(32)
+
+
+def window_hashes(token: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the template at every place, and whether it hides a value and has enough plain words to tell anything."""
+    h = _hashes(token, WINDOW)
+    if not len(h):
+        return h, np.zeros(0, bool)
     plain = np.r_[0, np.cumsum(~slot)]
-    return h, plain[WINDOW:] - plain[:-WINDOW] >= LEAST_PLAIN
+    plain = plain[WINDOW:] - plain[:-WINDOW]
+    return h, (plain >= LEAST_PLAIN) & (plain < WINDOW)
 
 
 def _slots(slot: np.ndarray, value: np.ndarray, at: int) -> list[int]:
@@ -94,9 +101,20 @@ def _slots(slot: np.ndarray, value: np.ndarray, at: int) -> list[int]:
     return value[own][slot[own]].view(np.int64).tolist()
 
 
-def windows_of(text: str, codes: Codes, bits: np.ndarray | None = None):
-    """``(hash, place, slots)`` of a text's telling windows that pass the filter; those where slices meet may come twice."""
+def windows_of(text: str, codes: Codes, bits: np.ndarray | None = None, short: tuple[int, ...] = ()):
+    """``(hash, place, slots)`` of a text's windows that pass the filter; those where slices meet may come twice.
+
+    Every window as it stands, lower-cased (no slots, whatever its words are), those of the lengths ``short`` as well,
+    and every telling template.
+    """
     at, carry, done = 0, np.zeros(0, np.uint64), 0
+
+    def passed(h: np.ndarray) -> np.ndarray:
+        if bits is None:
+            return np.ones(len(h), bool)
+        word = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
+        return (word >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
+
     while at < len(text):
         stop = min(len(text), at + SLICE)
         while stop < len(text) and not text[stop].isspace():
@@ -106,11 +124,12 @@ def windows_of(text: str, codes: Codes, bits: np.ndarray | None = None):
         c = np.concatenate([carry, np.fromiter(map(codes.__getitem__, found), np.uint64, len(found))])
         token, slot, value = templates(c)
         h, telling = window_hashes(token, slot)
-        if bits is not None:
-            word = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
-            telling &= (word >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
-        for i in np.flatnonzero(telling).tolist():
+        for i in np.flatnonzero(telling & passed(h)).tolist():
             yield int(h[i].view(np.int64)), done + i, _slots(slot, value, i)
+        for length in (*short, WINDOW):
+            h = _hashes(value >> np.uint64(3), length) ^ EXACT
+            for i in np.flatnonzero(passed(h)).tolist():
+                yield int(h[i].view(np.int64)), done + i, []
         # the next slice begins with the last tokens of this one (a mark before them tells how a sentence opens)
         keep = c[-4 * WINDOW :]
         carry = keep if at < len(text) else carry
@@ -118,15 +137,18 @@ def windows_of(text: str, codes: Codes, bits: np.ndarray | None = None):
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``(h, item, pos, slots, size)`` of all windows of the items, whose row numbers are ``item``."""
+    """``(h, item, pos, slots, size)`` of all windows of the items, whose row numbers are ``item``.
+
+    An item of fewer words than a window is one window of its own length.
+    """
 
     @F.pandas_udf("size int, w array<struct<h:long,pos:int,slots:array<long>>>")
     def split(texts: pd.Series) -> pd.DataFrame:
         codes, rows = Codes(), []
         for t in texts:
             t = t or ""
-            got = {pos: (h, pos, slots) for h, pos, slots in windows_of(t, codes)}
             size = sum(1 for x in TOKEN.finditer(t) if x.group() not in ".!?\n")
+            got = {(pos, bool(slots)): (h, pos, slots) for h, pos, slots in windows_of(t, codes, None, (size,) if 0 < size < WINDOW else ())}
             rows.append((size, [got[k] for k in sorted(got)]))
         return pd.DataFrame(rows, columns=["size", "w"])
 
@@ -163,7 +185,7 @@ def _extent(places: set[int], size: int) -> tuple[float, int]:
     for p in sorted(places):
         run = run + 1 if p == last + 1 else WINDOW
         best, covered, last = max(best, run), covered + min(WINDOW, p - last), p
-    return covered / size, best
+    return min(covered, size) / size, min(best, size)
 
 
 def _mapping(windows, known: dict[int, int]) -> dict[int, int] | None:
@@ -206,17 +228,19 @@ def judge(windows, size: int) -> tuple[float, int, bool]:
 def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, item_id, covered, run, kind)``: which benchmark items stand in which rows of ``docs``.
 
-    Windows of five words (numbers, names, and units after numbers as typed placeholders) are joined by hash. An item is
+    Windows of five words are joined by hash: all of them lower-cased as they stand, and those with at least three plain
+    words also as templates (numbers, names, and units after numbers as typed placeholders). An item is
     found in a document when the windows they share cover 0.8 of its words or a run of 13 of them. Windows with the item's
     own values always count. Where values differ they must agree by alignment: wherever an item has the same value, the
     document must have one and the same. ``kind``: ``exact`` if all values are equal, else ``reparameterised``.
-    Null and short texts (fewer than five words) match nothing, on either side; repeated rows and items repeat. Only
+    An item of fewer than five words is found where these stand in a row. Texts without words match nothing; repeated rows and items repeat. Only
     windows that pass a filter of bounded size leave a document, each of the same values once with its places; how many items there are changes only how
     many windows pass.
     """
     items, row = numbered(benchmark.select("item_id", "text"))
     items = cut(items.withColumnRenamed(row, "item"))
     known = cut(item_windows(items))
+    short = tuple(r["size"] for r in known.where(F.col("size") < WINDOW).select("size").distinct().collect())  # four at most
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(known))  # FILTER_BITS bits
 
     @F.pandas_udf("array<struct<h:long,slots:array<long>,places:array<int>>>")
@@ -224,7 +248,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text")
         codes, out = Codes(), []
         for t in texts:
             held: dict[tuple, set[int]] = {}
-            for h, place, slots in windows_of(t or "", codes, bits.value):
+            for h, place, slots in windows_of(t or "", codes, bits.value, short):
                 at = held.setdefault((h, *slots), set())
                 if slots:
                     at.add(place)

@@ -20,3 +20,17 @@ def test_a_template_with_other_values_before_the_item_hides_nothing(spark):
 def test_parts_with_different_values_do_not_add_up(spark):
     item = "he paid 5 then later on he paid 5 again"
     assert found(spark, ["he paid 8 then later on he smiled. Yes, later on he paid 9 again", item.replace("5", "6") + " " + item.replace("5", "7")], [item]) == {(1, 0): "reparameterised"}
+
+
+def test_items_of_names_and_numbers_in_any_case(spark):
+    names = "Anna Berg, Carl Dahl, Eva Falk, Georg Holm, Ida Jung"
+    sums = "12 + 7 = 19, 3 * 5 = 15, 8 - 2 = 6"
+    german = "Der Hund trug gestern einen Korb voller Birnen durch die Stadt zum Markt am alten Hafen"
+    pad = "nothing much happened there at all, and the sun rose over quiet hills "
+    docs = [pad + names + " " + pad, (pad + names).upper(), pad + sums, pad + german.lower() + " " + pad, german.upper(), pad, names.replace("Anna", "Olga").replace("Falk", "Lind")]
+    assert found(spark, docs, [names, sums, german]) == {(0, 0): "exact", (1, 0): "exact", (2, 1): "exact", (3, 2): "exact", (4, 2): "exact"}
+
+
+def test_items_under_five_words(spark):
+    docs = ["they asked: Who wrote Faust? Nobody knew", "WHO WROTE FAUST", "who then wrote faust", "", "12"]
+    assert found(spark, docs, ["Who wrote Faust?", "12", "", "?"]) == {(0, 0): "exact", (1, 0): "exact", (4, 1): "exact"}

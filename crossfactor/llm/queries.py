@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from crossfactor.llm import decontaminate, html_text, language, mixing, sharding, simhash, token_prefix, toxicity, url_lists, vector_lsh
+from crossfactor.llm import (
+    decontaminate, filter_audit, html_text, importance, language, mixing, quality, sharding, simhash, token_prefix, toxicity, url_lists, vector_lsh,
+)
 
 ENTRIES = {
     "op1_language": (language.query, None),
@@ -15,4 +17,7 @@ ENTRIES = {
     "op8_token_counts": (token_prefix.query, None),
     "op9_benchmark_passages": (decontaminate.query, None),
     "op10_vector_groups": (vector_lsh.query, None),
+    "op11_filter_audit": (filter_audit.query, filter_audit.SQL),
+    "op12_importance": (importance.query, None),
+    "op13_quality": (quality.query, None),
 }

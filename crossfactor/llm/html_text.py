@@ -20,23 +20,29 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Elements by what they mean for the text.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-SILENT = frozenset("head select option button svg canvas object audio video map datalist math".split())
+RAW = {x: re.compile(rf"</{x}(?![a-zA-Z0-9:-])", re.I) for x in "script style textarea title noscript template iframe xmp noembed noframes".split()}
+SILENT = frozenset("head select option button svg datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br "
+                   "canvas object audio video map math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose semantics annotation".split())
 APART = frozenset("nav aside form menu dialog fieldset".split())
 CLOSES_ITSELF = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "div": ("p",), "ul": ("p",), "ol": ("p",), "table": ("p",), "section": ("p",), "article": ("p",), "aside": ("p",), "nav": ("p",), "footer": ("p",), "header": ("p",), "form": ("p",), "h1": ("p",), "h2": ("p",), "h3": ("p",), "blockquote": ("p",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Parts of class names, ids and roles that mark what is not the article.
+# Class names, ids and roles that mark what is not the article, alone or with the words below that name a box.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav rail nav navbar navigation menu "
     "breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations widget widgets pagination pager toolbar search comment comments reply replies respond "
-    "disqus discussion feedback skip masthead copyright legal disclaimer complementary contentinfo tags taglist outbrain taboola trending popular teaser teasers announcement toast".split()
+    "disqus feedback skip masthead copyright legal disclaimer complementary contentinfo tags taglist outbrain taboola trending popular teaser teasers announcement toast".split()
 )
 EDGES = frozenset("header footer".split())
+BOX_WORDS = frozenset(
+    "site page main global top bottom left right inner outer upper lower primary secondary box block list area section item items bar panel unit slot zone wrap wrapper container content holder group link links "
+    "form text title button buttons row col column info module body posts articles stories news bottom fixed sticky layer message center form count thread head"
+    .split()
+)
 WHOLE = frozenset("html body main article".split())
-COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 BOXES = ("container", "wrapper", "wrap", "layout", "page", "content", "body", "inner")
 LEGAL = re.compile(r"©|\(c\)|copyright\b|all rights reserved", re.I)
 FRAMES = ("layout", "page")
@@ -75,9 +81,9 @@ class _Run:
     linked: list = field(default_factory=list)
 
 
-def _hints(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Does an element stand beside the article, is it a header or footer, is it hidden?"""
-    apart, edge, hidden, comments = name in APART, name in EDGES, False, False
+def _hints(name: str, attributes: str) -> tuple[bool, bool]:
+    """Does an element stand beside the article, is it a header or footer?"""
+    apart, edge, comments = name in APART, name in EDGES, False
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -86,14 +92,14 @@ def _hints(name: str, attributes: str) -> tuple[bool, bool, bool]:
                     p = [x for x in re.split(r"[-_]+", one) if x]
                     if not p or p[0] in HOLDERS or p[-1].endswith(BOXES) and (p[0] not in BESIDE or p[-1] in FRAMES):
                         continue
+                    if not all(x in BESIDE or x in EDGES or x in BOX_WORDS or x.isdigit() for x in p):
+                        continue  # a name with a word of its own, as "related-work"
                     comments |= bool(COMMENTS.intersection(p))
                     apart |= bool(BESIDE.intersection(p))
                     edge |= bool(EDGES.intersection(p))
-            elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                hidden = True
     if name in WHOLE:
         apart, edge = comments and name == "article", False
-    return apart, edge, hidden
+    return apart, edge
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -101,7 +107,8 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[_Open] = []
     opened: Counter = Counter()
-    run, links, skip = _Run(), 0, ""
+    run, links, at = _Run(), 0, 0
+    page = page or ""
     heading = False
 
     def close() -> None:
@@ -113,13 +120,9 @@ def blocks(page: str | None) -> list[Block]:
             out.append(Block(text, len(text.split()), min(linked, len(text.split())), top.inside, top.apart, top.edge, heading))
         run = _Run()
 
-    for m in TOKEN.finditer(page or ""):
-        got = m.group()
+    while m := TOKEN.match(page, at):
+        got, at = m.group(), m.end()
         name = (m[2] or "").lower()
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
-            continue
         if not name:
             if got[:1] == "<" and len(got) > 1:
                 continue  # a comment or declaration
@@ -148,7 +151,9 @@ def blocks(page: str | None) -> list[Block]:
         if m[3].rstrip().endswith("/") and name in SILENT:
             continue
         if name in RAW:
-            skip = name
+            # what is inside is no markup: go on at its own closing tag
+            end = RAW[name].search(page, at)
+            at = end.start() if end else len(page)
             continue
         if name == "a":
             links = 1  # links do not nest
@@ -163,12 +168,12 @@ def blocks(page: str | None) -> list[Block]:
             if k and stack[k - 1].name in CLOSES_ITSELF[name]:
                 opened.subtract(o.name for o in stack[k - 1 :])
                 del stack[k - 1 :]
-        apart, edge, hidden = _hints(name, m[3])
+        apart, edge = _hints(name, m[3])
         above = stack[-1] if stack else _Open("", False, False, False, False)
         inside = above.inside or name in ("article", "main") and not apart
         # an article's own header belongs to it, a footer never does
         edge = edge and not (inside and name == "header")
-        stack.append(_Open(name, above.apart or apart, above.edge or edge, inside, above.silent or hidden or name in SILENT))
+        stack.append(_Open(name, above.apart or apart, above.edge or edge, inside, above.silent or name in SILENT))
         opened[name] += 1
     close()
     return out
@@ -206,6 +211,8 @@ LABELLED = [
     f"<div><h1>The year</h1>+<p>{_LONG}</p>+<p>{_LAST}</p>+</div><div><a href='/t'>Terms of use</a></div>-",
     f"<div><h1>Rain</h1>+<p>{_MORE}</p>+<p>It rained.</p>+</div>",
     f"<div><p>{_LONG}</p>+<h2>Goods</h2>+<ul><li>rope</li>+<li>nails</li>+</ul></div>",
+    f"<div>Topics</div>-<div>{_NAV}</div><div><p>{_MORE}</p>+<p>{_LONG}</p>+</div><div>Top stories</div>-<div>{_NAV}</div>",
+    f"<div><p>{_LONG}</p>+<p>{_LAST}</p>+</div><div>{_NAV}</div><div>Sections</div>-<div>{_NAV}</div>",
 ]
 
 

@@ -147,12 +147,14 @@ def train(texts: list[str], langs: list[str], owner: list[int] | None = None, ep
     return model
 
 
-def fit(docs: DataFrame, per_class: int = 1500, chars: int = 600, max_classes: int = 64, **options) -> Model:
-    """Learns from ``text`` and ``lang`` of ``docs``. The fit is bounded: about ``per_class`` documents of each of the
-    ``max_classes`` most frequent languages, ``chars`` code points from the middle of each, and a short cut of those."""
+def fit(docs: DataFrame, per_class: int = 1500, chars: int = 600, most: int = 150_000, **options) -> Model:
+    """Learns from ``text`` and ``lang`` of ``docs``, every language that occurs.
+
+    The fit is bounded: about ``per_class`` documents of each language (fewer, but 20 at least, where there are so many
+    languages that these exceed ``most``), ``chars`` code points from the middle of each, and a short cut of those."""
     known = docs.where(F.col("lang").isNotNull() & F.coalesce(F.length("text") > 0, F.lit(False)))
     start = F.greatest(F.lit(1), ((F.length("text") - chars) / 2).cast("int"))
-    rows = class_sample(known.select("doc_id", "lang", "text"), "lang", "doc_id", per_class, max_classes)
+    rows = class_sample(known.select("doc_id", "lang", "text"), "lang", "doc_id", per_class, most)
     rows = rows.select("doc_id", "lang", F.col("text").substr(start, F.lit(chars)).alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     texts = [r["text"] for r in rows] + [r["text"][: 20 + 10 * (i % 10)] for i, r in enumerate(rows)]
@@ -165,7 +167,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     A null text and one without a letter are ``und`` with score 0, as is everything when nothing could be learned.
     ``rejected`` marks predictions below the calibrated threshold. Ids may be null or repeat; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets times max_classes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def guess(texts: pd.Series) -> pd.DataFrame:

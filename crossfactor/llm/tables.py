@@ -24,19 +24,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def class_sample(df: DataFrame, label: str, key: str, per_class: int, max_classes: int = 256) -> DataFrame:
-    """About ``per_class`` rows of each of the ``max_classes`` most frequent classes, chosen by a hash of the key.
+def class_sample(df: DataFrame, label: str, key: str, per_class: int, most: int | None = None, least: int = 20) -> DataFrame:
+    """About ``per_class`` rows of each class, chosen by a hash of the key; no class is left out.
 
-    For fitting only: both bounds are parameters of the fit. The classes' counts cover all rows.
+    For fitting only: the bound is a parameter of the fit. With ``most``, so many classes that these would exceed it share
+    ``most`` rows, but ``least`` rows a class remain. The classes' counts cover all rows.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_classes).collect()
-    if not counts:
-        return df.limit(0)
     span = 1 << 30
-    limit = F.lit(None).cast("long")
-    for r in counts:
-        limit = F.when(F.col(label) == F.lit(r[label]), F.lit(int(span * min(1.0, per_class / r["n"])))).otherwise(limit)
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(span)) < limit)
+    counts = cut(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_rows")))
+    if most:
+        per_class = min(per_class, max(least, most // max(1, counts.count())))
+    counts = counts.select(label, (F.lit(span) * F.least(F.lit(1.0), F.lit(per_class) / F.col("_rows"))).cast("long").alias("_limit"))
+    chosen = F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(span))
+    return join_small(df, counts, label).where(chosen < F.col("_limit")).select(*df.columns)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = 100_000) -> DataFrame:

@@ -61,6 +61,19 @@ def test_language_is_learned_and_rejected(spark):
     assert np.array_equal(again.table, model.table)
 
 
+def test_seventy_languages_are_all_learned(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(70):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyzäöüéñ"))[:7]
+        rows += [(100 * k + i, " ".join("".join(rng.choice(letters, 5)) for _ in range(40)), f"l{k}") for i in range(8)]
+    docs = spark.createDataFrame(rows + [(9999, "no language", None)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.labels) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert np.mean([got[i] == x for i, _, x in rows]) > 0.95
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None, "s", 3)], DOCS)
     assert [tuple(r) for r in language.predict(docs, language.fit(docs)).collect()] == [(1, "und", 0.0, True)]
@@ -106,6 +119,42 @@ def test_blocks_of_broken_and_odd_markup():
     assert html_text.main_text("<script>never closed <article><p>x</p></article>") == ""
 
 
+def test_scripts_that_hold_signs_do_not_end_a_page():
+    for inner in ("for(i=0;i<n;i++){x()}", "if(a<b&&c>d){document.write('<p>')}", "x='</scripts>'<y"):
+        page = f"<article><h1>T</h1><p>before</p><script>{inner}</script><p>after</p><SCRIPT src=x></SCRIPT ><p>end</p></article><footer>f</footer>"
+        assert html_text.main_text(page) == "T\nbefore\nafter\nend"
+    assert html_text.main_text("<article><p>a</p><style>p<b{}</style><p>b</p></article>") == "a\nb"
+
+
+def test_formulae_hidden_blocks_and_fallbacks_stay():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p><p hidden>kept</p><p style='display:none'>too</p><video>Fallback.</video></article>"
+    assert html_text.main_text(page) == "Let x=2 hold\nkept\ntoo\nFallback."
+
+
+def test_class_names_count_as_whole_names():
+    long = "a long text of many words that nobody would take for a menu, as it goes on and on for a while"
+    for name in ("related-work", "discussion", "notice-of-meeting", "share_price"):
+        assert html_text.main_text(f"<article class='{name}'><p>{long}</p></article>") == long
+        assert html_text.main_text(f"<div class='{name}'><p>{long}</p></div>") == long
+    for name in ("related-posts", "cookie-notice", "site-sidebar", "comments-list", "ad ad-300"):
+        assert html_text.main_text(f"<article><p>{long}</p><div class='{name}'><p>{long}</p></div></article>") == long
+
+
+def test_long_paragraph_before_a_menu_stays_and_its_short_title_goes():
+    menu = "<ul><li><a href='/a'>Home page</a></li><li><a href='/b'>Other news</a></li></ul>"
+    long = "one more text about the river and the boats that came back late in the year with all of their goods"
+    tree = html_text.fitted()
+    used = set()
+    stack = [tree]
+    while stack:
+        n = stack.pop()
+        if n.figure >= 0:
+            used.add(html_text.FIGURES[n.figure])
+            stack += [n.low, n.high]
+    assert {"words", "words_before", "words_after"} & used
+    assert html_text.main_text(f"<div>{menu}</div><div><p>{long}</p><p>{long}</p></div><div>More</div><div>{menu}</div>") == f"{long}\n{long}"
+
+
 def test_tree_fits_its_table():
     x, y = html_text.labelled()
     assert (html_text.fitted().predict(x) == (y == 1)).all()

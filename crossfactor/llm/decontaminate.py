@@ -28,6 +28,8 @@ NUMBERS = frozenset(
 PLAIN, TITLE, NUMBER, UNIT, MARK = range(5)
 #: Words of a window, how many of them must be no placeholder, share of an item and run of words from which it is found.
 WINDOW, LEAST_PLAIN, COVER, RUN = 5, 3, 0.8, 13
+#: The query and the pipeline do not look for items of fewer words: a word or two stand in too many texts.
+LEAST_WORDS = 3
 #: Bits of the filter that spares documents' windows the join, characters read at once, entries of a worker's cache.
 FILTER_BITS, SLICE, CACHE = 24, 1 << 20, 1_000_000
 #: Keeps hashes of windows as they stand apart from those of templates.
@@ -168,6 +170,53 @@ def hash_filter(windows: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
+def telling_windows(pos: list[int], cost: list[int], size: int) -> np.ndarray:
+    """Which windows of an item must be looked up so that no match can be missed: all but those met most often.
+
+    Windows are set aside from the most common on, as long as those set aside together reach neither ``COVER`` of the
+    item's words nor a run of ``RUN``. A document that reaches either shares a window that is not set aside. Windows at
+    one place stand or fall together.
+    """
+    places = np.unique(pos)
+    total = np.zeros(int(places.max()) + 1, np.int64)
+    np.maximum.at(total, pos, cost)
+    aside = np.zeros(len(total) + 2 * WINDOW, bool)  # shifted by WINDOW, so that neighbours always exist
+    first, last = np.arange(len(aside)), np.arange(len(aside))  # of each run, kept at its two ends
+    covered = np.zeros(len(total) + WINDOW, bool)
+    words = 0
+    need = min(RUN, size)
+    for p in sorted(places.tolist(), key=lambda p: (-total[p], p)):
+        at = p + WINDOW
+        lo = first[at - 1] if aside[at - 1] else at
+        hi = last[at + 1] if aside[at + 1] else at
+        more = int((~covered[p : p + WINDOW]).sum())
+        if (words + more) / size >= COVER or hi - lo + WINDOW >= need:
+            continue
+        aside[at], first[hi], last[lo] = True, lo, hi
+        covered[p : p + WINDOW] = True
+        words += more
+    return ~aside[np.asarray(pos, np.int64) + WINDOW]
+
+
+def anchors(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(h, item)`` of the windows of ``known`` that find the items, given how often ``seen`` and the items hold each."""
+    often = seen.groupBy("h").agg(F.count(F.lit(1)).alias("d"))
+    cost = cut(known.groupBy("h").agg(F.count(F.lit(1)).alias("i")).join(often, "h").select("h", (F.col("i") * F.col("d")).alias("cost")))
+    # a window that no document holds costs nothing and finds nothing
+    held = join_small(known.select("h", "item", "pos", "size"), cost, "h", "left")
+    items = held.groupBy("item").agg(F.first("size").alias("size"), F.collect_list(F.struct("h", "pos", F.coalesce("cost", F.lit(0)).alias("cost"))).alias("w"))
+
+    @F.pandas_udf("array<long>")
+    def kept(windows: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for w, n in zip(windows, sizes):
+            keep = telling_windows([x["pos"] for x in w], [x["cost"] for x in w], n)
+            out.append(sorted({x["h"] for x, k in zip(w, keep) if k and x["cost"]}))
+        return pd.Series(out)
+
+    return items.select("item", F.explode(kept("w", "size")).alias("h"))
+
+
 def _reach(places: str):
     """Of sorted window places: words covered and longest run of words, as a struct."""
     zero = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("covered"))
@@ -225,7 +274,7 @@ def judge(windows, size: int) -> tuple[float, int, bool]:
     return *_extent(best, size), best <= equal
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", least_words: int = 1) -> DataFrame:
     """``(key, item_id, covered, run, kind)``: which benchmark items stand in which rows of ``docs``.
 
     Windows of five words are joined by hash: all of them lower-cased as they stand, and those with at least three plain
@@ -233,13 +282,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text")
     found in a document when the windows they share cover 0.8 of its words or a run of 13 of them. Windows with the item's
     own values always count. Where values differ they must agree by alignment: wherever an item has the same value, the
     document must have one and the same. ``kind``: ``exact`` if all values are equal, else ``reparameterised``.
-    An item of fewer than five words is found where these stand in a row. Texts without words match nothing; repeated rows and items repeat. Only
-    windows that pass a filter of bounded size leave a document, each of the same values once with its places; how many items there are changes only how
-    many windows pass.
+    An item of fewer than five words is found where these stand in a row; items of fewer than ``least_words`` (a "yes") are
+    not looked for. Texts without words match nothing; repeated rows and items repeat, null ids are ids like others, and
+    no documents or no items give no rows. Only windows that pass a filter of bounded size leave a document, each of the
+    same values once with its places.
+
+    Common windows do not multiply: documents first meet items by each item's rarest windows, as many as no match can
+    do without (``telling_windows``), and all windows are joined for the pairs that so met.
     """
     items, row = numbered(benchmark.select("item_id", "text"))
     items = cut(items.withColumnRenamed(row, "item"))
-    known = cut(item_windows(items))
+    known = cut(item_windows(items).where(F.col("size") >= least_words))
     short = tuple(r["size"] for r in known.where(F.col("size") < WINDOW).select("size").distinct().collect())  # four at most
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(known))  # FILTER_BITS bits
 
@@ -257,7 +310,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text")
 
     seen = docs.select(F.col(key).alias("_key"), F.explode(passing(F.col(text))).alias("w"))
     seen = seen.select("_key", F.col("w.h").alias("h"), F.col("w.slots").alias("theirs"), F.col("w.places").alias("places"))
-    pairs = join_small(seen, known, "h")
+    seen = cut(seen)
+    met = join_small(seen.select("_key", "h"), anchors(known, seen), "h").select("_key", "item").distinct()
+    met = met.withColumnRenamed("_key", "_met")
+    pairs = join_small(seen, met, F.col("_key").eqNullSafe(F.col("_met"))).join(known, ["item", "h"])
     groups = pairs.groupBy("_key", "item").agg(
         F.first("size").alias("size"), F.collect_set("pos").alias("all"), F.collect_list(F.struct("pos", "slots", "theirs", "places")).alias("w")
     )
@@ -275,12 +331,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text")
     return out.select(F.col("_key").alias(key), "item_id", "covered", "run", "kind")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, all columns kept, told apart by their place."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, all columns kept, told apart by their place.
+
+    Rows with a null or empty text stay, as do all when there are no items; equal rows stay or go together.
+    """
     d, row = numbered(docs)
-    found = matches(d.select(row, "text"), benchmark, row).select(row).distinct()
+    found = matches(d.select(row, "text"), benchmark, row, least_words=least_words).select(row).distinct()
     return join_small(d, found, row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id")
+    return matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", least_words=LEAST_WORDS)

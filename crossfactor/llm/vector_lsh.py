@@ -58,7 +58,7 @@ def link_vectors(vectors: DataFrame, min_cosine: float = 0.98, recall: float = 0
     # -0.0 and 0.0 are the same direction
     # vectors travel in their own type and are made double where they are compared
     rows = vectors.select("vec_id", F.transform(parts, lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x)).alias("v"), "label", (good & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("ok"))
-    rows = rows.withColumn("key", F.when(F.col("ok"), F.xxhash64("label", "v")))
+    rows = rows.withColumn("key", F.when(F.col("ok"), F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64("v", "label", F.lit(1)).alias("b"))))
     points = cut(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("key").alias("key")))
     widest = points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     k, n_tables = plan(widest, min_cosine, recall)
@@ -118,7 +118,7 @@ def link_vectors(vectors: DataFrame, min_cosine: float = 0.98, recall: float = 0
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     named = points.select("key", "rep", "m").join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
     named = cut(named.select("key", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    # the key of a point is 64 bits of its label and parts; a row that is not compared has none
+    # the key of a point is 128 bits of its label and parts; a row that is not compared has none
     out = rows.select("vec_id", "key").join(named, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -59,6 +59,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table, in whatever store Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so later plans start from stored rows and survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

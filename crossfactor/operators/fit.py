@@ -588,8 +588,19 @@ def split_by_size(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame |
     return cells.join(big, keys, "left_anti"), cells.join(big, keys, "left_semi"), int(total or 0)
 
 
-def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, form: str = "auto") -> FitTables:
-    """Fit every key of ``obs`` with rank one and, if asked, rank two. ``unique`` promises one observation per cell."""
+def fit(
+    obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, form: str = "auto", cov: DataFrame | None = None,
+    start: DataFrame | None = None,
+) -> FitTables:
+    """Fit every key of ``obs`` with rank one and, if asked, rank two. ``unique`` promises one observation per cell.
+
+    ``cov``: covariance ``(matrix_id, i, j, c)`` of the observations by their ``seq``, for a generalised fit. ``start``:
+    ``(matrix_id, col_idx, s1, s2)``, column vectors to start from in place of the default ones (see ``start_from``).
+    """
+    if cov is not None:
+        from crossfactor.operators.correlated import fit_correlated
+
+        return fit_correlated(obs, cov, opt, start)
     obs = usable(_with_replicate(obs))
     if unique:
         cells = obs.select(
@@ -598,19 +609,28 @@ def fit(obs: DataFrame, opt: FitOptions = FitOptions(), unique: bool = False, fo
         )
     else:
         cells = keep(collapse(obs))
+    if start is not None:
+        cells = cells.join(start.select("matrix_id", "col_idx", "s1", "s2"), ["matrix_id", "col_idx"])
+    given = start is not None
     if form == "relational":
-        tables = fit_relational(cells, opt)
+        tables = fit_relational(cells, opt, given)
         tables.extra["large"] = cut(cells.select(*key_columns(cells)).distinct())
         cells.unpersist()
         return tables
     small, large, total = split_by_size(cells, opt.group_max_cells if form == "auto" else 2**62)
     blocks = small.withColumn("rep0", F.col("replicate"))
-    tables = tables_from_blocks(cut(fit_blocks(blocks, opt, True, total)), opt) if total else None
-    tables = _with_large(tables, large, opt)
+    tables = tables_from_blocks(cut(fit_blocks(blocks, opt, True, total, starts=given)), opt) if total else None
+    tables = _with_large(tables, large, opt, given)
     cells.unpersist()  # what the result needs of it is stored
     return tables
 
 
+def start_from(tables: FitTables) -> DataFrame:
+    """Starting vectors from an earlier fit: the column factor of rank one, and the second one of rank two."""
+    second = F.col("v2") if "v2" in tables.cols.columns else F.sin(1.0 + F.col("col_idx"))
+    return tables.cols.select("matrix_id", "col_idx", F.col("v").alias("s1"), second.alias("s2"))
+
+
 def _with_large(tables: FitTables | None, large: DataFrame | None, opt: FitOptions, starts: bool = False) -> FitTables:
     """Add the matrices that went through the relational form, and remember which they were."""
     if large is not None:

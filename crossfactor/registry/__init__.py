@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cells", "curves", "fits", "modes", "relate", "sourcing"]
+MODULES = ["cells", "correlated", "curves", "fits", "modes", "relate", "sourcing"]
 
 
 def entries() -> dict:

@@ -175,11 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_tokens:
         return pd.DataFrame({"at": [x[0] for x in out], "n": [x[1] for x in out]})
 
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most twice per_class ids
-    rows = texts.select("doc_id", "quality", bag("text").alias("b")).select("doc_id", "quality", "b.*").toPandas()
-    bags = [(np.asarray(a, np.int64), np.asarray(n, np.float64)) for a, n in zip(rows["at"], rows["n"])]
-    y = rows["quality"].to_numpy(np.int64)
+    rows = texts.select("doc_id", "quality", bag("text").alias("b")).select("doc_id", "quality", "b.*").collect()
+    bags = [(np.asarray(r["at"], np.int64), np.asarray(r["n"], np.float64)) for r in rows]
+    y = np.array([r["quality"] for r in rows], np.int64)
     # one order of documents whatever the order of reading
-    order = sorted(range(len(y)), key=lambda k: (rows["doc_id"][k], y[k], len(bags[k][0]), bags[k][0].tobytes(), bags[k][1].tobytes()))
+    order = sorted(range(len(y)), key=lambda k: (rows[k]["doc_id"], y[k], len(bags[k][0]), bags[k][0].tobytes(), bags[k][1].tobytes()))
     y, bags = y[order], [bags[k] for k in order]
     got = np.bincount(y, minlength=2)
     weight = np.array([counts.get(int(v), 0) / max(1, got[int(v)]) for v in y])

@@ -228,8 +228,8 @@ def sweep_summary(results: DataFrame) -> DataFrame:
 
 
 def ranked_presets(results: DataFrame) -> DataFrame:
-    """Presets of a matrix by falling statistic, list order on ties."""
-    w = Window.partitionBy("matrix_id").orderBy(F.desc("lambda_stat"), "ord")
+    """Presets of a matrix by falling statistic (to nine digits), list order on ties."""
+    w = Window.partitionBy("matrix_id").orderBy(F.desc(F.round("lambda_stat", 9)), "ord")
     return results.withColumn("place", F.row_number().over(w))
 
 

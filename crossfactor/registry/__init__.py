@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cells", "correlated", "curves", "fits", "modes", "presets", "relate", "sourcing"]
+MODULES = ["calibrate", "cells", "correlated", "curves", "fits", "modes", "presets", "relate", "sourcing"]
 
 
 def entries() -> dict:

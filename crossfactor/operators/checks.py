@@ -31,7 +31,7 @@ def coverage(cells: DataFrame, min_obs: int = 20, min_fill: float = 0.5, min_row
         a, keys,
         [
             ("data_coverage", n >= min_obs, F.format_string("%d observations, %dx%d matrix", n, r, c), {"n_obs": n, "n_rows": r, "n_cols": c}),
-            ("matrix_completeness", fill > min_fill, F.format_string("Fill fraction: %.4f", fill), {"fill_fraction": fill}),
+            ("matrix_completeness", fill > min_fill, F.format_string("%.4f of all cells are filled", fill), {"fill_fraction": fill}),
             ("row_coverage", r >= min_rows, F.format_string("%d rows with data", r), {"n_rows": r}),
         ],
     )

@@ -41,7 +41,7 @@ def baseline(
     found.append(
         explained.select(
             "matrix_id", F.lit("variance_explained").alias("check"), "passed",
-            F.format_string("Rank-1 explains %.3f of variance", F.col("fraction_explained")).alias("message"),
+            F.format_string("one component accounts for a share of %.3f", F.col("fraction_explained")).alias("message"),
             F.create_map(F.lit("fraction_explained"), F.col("fraction_explained")).alias("details"),
         )
     )

@@ -167,7 +167,7 @@ def coverage_checks(spark, sf):
 
 COVERAGE = s.with_(s.CC) + """, a AS (SELECT matrix_id, count(*) AS n, count(DISTINCT row_idx) AS r, count(DISTINCT col_idx) AS c FROM cc GROUP BY matrix_id)
 SELECT matrix_id, 'data_coverage' AS check, n >= 20 AS passed, printf('%d observations, %dx%d matrix', n, r, c) AS message FROM a
-UNION ALL SELECT matrix_id, 'matrix_completeness', n / (r * c) > 0.5, printf('Fill fraction: %.4f', n / (r * c)) FROM a
+UNION ALL SELECT matrix_id, 'matrix_completeness', n / (r * c) > 0.5, printf('%.4f of all cells are filled', n / (r * c)) FROM a
 UNION ALL SELECT matrix_id, 'row_coverage', r >= 2, printf('%d rows with data', r) FROM a"""
 
 

@@ -354,7 +354,7 @@ def check_table(spark, sf):
 
 CHECK = s.with_(s.CC) + """, a AS (SELECT matrix_id, count(*) AS n, count(DISTINCT row_idx) AS r, count(DISTINCT col_idx) AS c FROM cc GROUP BY matrix_id)
 SELECT matrix_id AS dataset, 'data_coverage' AS check, CASE WHEN n >= 20 THEN '✓' ELSE '✗' END AS passed, printf('%d observations, %dx%d matrix', n, r, c) AS message FROM a
-UNION ALL SELECT matrix_id, 'matrix_completeness', CASE WHEN n / (r * c) > 0.5 THEN '✓' ELSE '✗' END, printf('Fill fraction: %.4f', n / (r * c)) FROM a
+UNION ALL SELECT matrix_id, 'matrix_completeness', CASE WHEN n / (r * c) > 0.5 THEN '✓' ELSE '✗' END, printf('%.4f of all cells are filled', n / (r * c)) FROM a
 UNION ALL SELECT matrix_id, 'row_coverage', CASE WHEN r >= 2 THEN '✓' ELSE '✗' END, printf('%d rows with data', r) FROM a"""
 
 

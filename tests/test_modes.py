@@ -140,7 +140,7 @@ def test_compare_direct(spark):
     assert ab["v2_cosine"] == pytest.approx(1) and ab["u2_cosine"] == pytest.approx(1) and not ab["sign_aligned"] and ab["replication_grade"] == "excellent"
     assert ab["v2_spearman"] == pytest.approx(1)
     assert abs(r[("a", "c")]["v2_cosine"]) < 0.05
-    assert r[("a", "d")]["replication_grade"] == "incompatible" and "column factors of" in r[("a", "d")]["comparability_note"]
+    assert r[("a", "d")]["replication_grade"] == "incompatible" and "row factors of" in r[("a", "d")]["comparability_note"]
 
 
 def test_compare_interpolated(spark):

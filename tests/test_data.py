@@ -246,8 +246,28 @@ def test_singular_values(spark, synthetic):
     c = frame(spark, {"m": (y, e)})
     want = np.linalg.svd(y / e, compute_uv=False)
     for limit in (1000, 5):
-        s = sorted((r["s"] for r in spectrum.singular_values(c, 2, rounds=12, group_max_cells=limit).collect()), reverse=True)
-        assert s == pytest.approx(want[:2], rel=1e-4)
+        s = sorted((r["s"] for r in spectrum.singular_values(c, 2, group_max_cells=limit).collect()), reverse=True)
+        assert s == pytest.approx(want[:2], rel=1e-9)
+
+
+def test_block_spectrum(spark):
+    """Several matrices at once in the block form: wide, of low rank, with few columns, and one that cannot settle in time."""
+    rng = np.random.default_rng(5)
+    q = lambda n, m: np.linalg.qr(rng.standard_normal((n, m)))[0]
+    decay = q(60, 40) @ np.diag(0.7 ** np.arange(40)) @ q(40, 40).T
+    low = rng.standard_normal((30, 3)) @ rng.standard_normal((3, 50))
+    tables = {"decay": decay, "low": low, "narrow": rng.standard_normal((45, 4))}
+    c = frame(spark, {n: (m, np.ones_like(m)) for n, m in tables.items()})
+    got = spectrum.singular_values(c, 6, weighted=False, group_max_cells=50).toPandas()
+    assert got.settled.all()
+    for name, m in tables.items():
+        mine = got[got.matrix_id == name].sort_values("k").s.to_numpy()
+        want = np.linalg.svd(m, compute_uv=False)[:6]
+        assert len(mine) == min(6, *m.shape) and np.abs(mine - want).max() < 1e-7 * want[0]
+    short = spectrum.singular_values(c.filter("matrix_id = 'decay'"), 6, weighted=False, group_max_cells=50, rounds=1)
+    assert not short.first()["settled"]
+    cond = spectrum.condition_number(spectrum.singular_values(c.filter("matrix_id = 'narrow'"), 4, weighted=False, group_max_cells=50)).first()
+    assert cond["condition_number"] == pytest.approx(np.linalg.cond(tables["narrow"]), rel=1e-8)
 
 
 # ----------------------------------------------------------------- validation

@@ -2,32 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crossfactor.functions.special import kolmogorov_pvalue
 from crossfactor.operators.ordered import value_positions
+from crossfactor.session import cut
 
 
 # ---------------------------------------------------------------- spot checks
+def _grams(text: str, n: Column) -> Column:
+    """All pieces of ``n`` characters."""
+    first = F.sequence(F.lit(1), F.char_length(text) - n + 1)
+    return F.when(F.char_length(text) >= n, F.transform(first, lambda i: F.substr(F.col(text), i, n)))
+
+
+def containing(labels: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(pattern, label)`` for every distinct label that contains a pattern, by an inverted index.
+
+    Labels post their pieces of one to three characters that some pattern has. A pattern meets the labels under its rarest
+    piece (of three characters, or whole when shorter), so nothing is compared that shares none; then it is verified. An
+    empty pattern is in every label; null ones are in none.
+    """
+    width = lambda c: F.least(F.lit(3), F.char_length(c))
+    labels = labels.select("label").distinct().filter(F.col("label").isNotNull())
+    parts = patterns.select("pattern").distinct().filter(F.char_length("pattern") > 0)
+    parts = parts.select("pattern", F.explode(F.array_distinct(_grams("pattern", width("pattern")))).alias("gram"))
+    posted = F.array_distinct(F.flatten(F.array_compact(F.array(*[_grams("label", F.lit(n)) for n in (1, 2, 3)]))))
+    index = labels.select("label", F.explode(posted).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi")
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a piece without a posting is the rarest one: the pattern is then in no label
+    rarest = parts.join(often, "gram", "left").groupBy("pattern").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram")
+    )
+    found = rarest.join(index, "gram").filter(F.contains("label", "pattern")).select("pattern", "label")
+    return found.unionByName(labels.select(F.lit("").alias("pattern"), "label"))
+
+
 def spot_checks(cells: DataFrame, checks: DataFrame, log_tolerance: float = 0.5) -> DataFrame:
     """Look up ``checks(check_id, row_label, col_label, expected, tolerance, is_log)`` among the cells and compare.
 
     Three tiers: equal labels, labels containing the wanted ones, labels containing a piece of each (rows split at '_',
-    columns at '='); inside a tier the first cell by ``seq`` wins. Cells shrink to distinct labels before the theta
-    joins, exact hits never reach them, and the checks, a hand-written list, are the broadcast side when small.
+    columns at '='); inside a tier the first cell by ``seq`` wins. Every step is an equality join: what checks that have
+    no exact hit ask for is collapsed to distinct pairs of patterns, patterns meet distinct labels through an inverted
+    index, and each pair of patterns keeps its first cell only.
     """
     known = cells.groupBy("row_label", "col_label").agg(
         F.min("seq").alias("first_seq"), F.max_by(F.struct("value", "total_err"), F.col("seq")).alias("last")
     ).select("row_label", "col_label", "first_seq", "last.value", "last.total_err")
+    known = cut(known)
     want = checks.select("check_id", F.col("row_label").alias("wr"), F.col("col_label").alias("wc"))
+    cell = F.struct("row_label", "col_label", "value", "total_err")
     exact = want.join(known, (F.col("wr") == F.col("row_label")) & (F.col("wc") == F.col("col_label")))
-    exact = exact.withColumn("tier", F.lit(0))
-    rest = want.join(exact.select("check_id").distinct(), "check_id", "left_anti")
-    inside = F.contains("row_label", "wr") & F.contains("col_label", "wc")
-    piece = lambda label, text, sep: F.exists(F.split(F.col(text), sep), lambda p: F.contains(F.col(label), p))
-    pieces = piece("row_label", "wr", "_") & piece("col_label", "wc", "=")
-    near = rest.join(known, inside | pieces).withColumn("tier", F.when(inside, 1).otherwise(2))
-    pick = F.min_by(F.struct("row_label", "col_label", "value", "total_err", "tier"), F.struct("tier", "first_seq"))
+    exact = exact.select("check_id", F.lit(0).alias("tier"), "first_seq", cell.alias("c"))
+    rest = want.join(exact.select("check_id"), "check_id", "left_anti")
+    whole = rest.select("check_id", F.lit(1).alias("tier"), F.col("wr").alias("pr"), F.col("wc").alias("pc"))
+    split = rest.select("check_id", F.lit(2).alias("tier"), F.explode(F.array_distinct(F.split("wr", "_"))).alias("pr"), "wc")
+    split = split.select("check_id", "tier", "pr", F.explode(F.array_distinct(F.split("wc", "="))).alias("pc"))
+    asked = cut(whole.unionByName(split))
+    rows = containing(known.select(F.col("row_label").alias("label")), asked.select(F.col("pr").alias("pattern")))
+    cols = containing(known.select(F.col("col_label").alias("label")), asked.select(F.col("pc").alias("pattern")))
+    met = asked.select("pr", "pc").distinct().join(rows.select(F.col("pattern").alias("pr"), F.col("label").alias("row_label")), "pr")
+    met = met.join(known, "row_label").join(cols.select(F.col("pattern").alias("pc"), F.col("label").alias("col_label")), ["pc", "col_label"])
+    first = met.groupBy("pr", "pc").agg(F.min("first_seq").alias("first_seq"), F.min_by(cell, F.col("first_seq")).alias("c"))
+    near = asked.join(first, ["pr", "pc"]).select("check_id", "tier", "first_seq", "c")
+    pick = F.min_by(F.struct("c.row_label", "c.col_label", "c.value", "c.total_err", "tier"), F.struct("tier", "first_seq"))
     best = exact.unionByName(near).groupBy("check_id").agg(pick.alias("m"))
     j = checks.join(best, "check_id", "left")
     actual, expected = F.col("m.value"), F.col("expected")

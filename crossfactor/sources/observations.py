@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from crossfactor.schemas import COV, OBS
@@ -22,24 +22,60 @@ def complete(obs: DataFrame) -> DataFrame:
     return filled.select(*[F.col(f.name).cast(f.dataType) for f in OBS.fields])
 
 
-def write_observations(obs: DataFrame, path: str, cov: DataFrame | None = None, meta: DataFrame | None = None) -> None:
-    """Observations partitioned by matrix, so that one matrix reads one folder; covariance and metadata beside them.
+#: Finest split of matrices into buckets, and so the bound on what the writer counts.
+MOST_BUCKETS = 65_536
 
-    Hot matrices are spread over files by row; small ones share a task.
+
+def _write_clustered(df: DataFrame, path: str, order: list[str], rows_per_file: int) -> None:
+    """Folders ``of=<buckets>/bucket=<b>`` by hash of ``matrix_id``, files of about ``rows_per_file`` rows sorted by matrix.
+
+    The number of buckets follows from the rows, never from the number of matrices. A bucket with more rows than a file
+    should hold (one hot matrix, say) is written by as many tasks as it needs.
     """
-    complete(obs).repartition("matrix_id", "row_idx").write.mode("overwrite").partitionBy("matrix_id").parquet(f"{path}/obs")
+    fine = F.pmod(F.hash("matrix_id"), F.lit(MOST_BUCKETS))
+    counts = {r["b"]: r["n"] for r in df.groupBy(fine.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = 1
+    while of < MOST_BUCKETS and of * rows_per_file < sum(counts.values()):
+        of *= 2
+    held: dict[int, int] = {}
+    for b, n in counts.items():
+        held[b % of] = held.get(b % of, 0) + n
+    spark = df.sparkSession
+    pieces = spark.createDataFrame([(b, -(-n // rows_per_file)) for b, n in held.items()], "bucket int, _pieces long")
+    placed = df.withColumn("of", F.lit(of)).withColumn("bucket", F.pmod(F.hash("matrix_id"), F.lit(of)))
+    placed = placed.join(F.broadcast(pieces), "bucket").withColumn("_piece", F.pmod(F.xxhash64(*order), F.col("_pieces")))
+    files = max(1, sum(-(-n // rows_per_file) for n in held.values()))
+    laid = placed.repartition(files, "bucket", "_piece").sortWithinPartitions("bucket", "matrix_id", *order)
+    laid.drop("_pieces", "_piece").write.mode("overwrite").partitionBy("of", "bucket").parquet(path)
+
+
+def write_observations(
+    obs: DataFrame, path: str, cov: DataFrame | None = None, meta: DataFrame | None = None, rows_per_file: int = 4_000_000
+) -> None:
+    """Observations clustered by matrix in hash buckets; covariance (clustered alike) and metadata beside them."""
+    _write_clustered(complete(obs), f"{path}/obs", ["seq", "row_idx", "col_idx"], rows_per_file)
     if cov is not None:
-        cov.select(*[f.name for f in COV.fields]).repartition("matrix_id", "i").write.mode("overwrite").partitionBy("matrix_id").parquet(f"{path}/cov")
+        _write_clustered(cov.select(*[f.name for f in COV.fields]), f"{path}/cov", ["i", "j"], rows_per_file)
     if meta is not None:
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    return complete(spark.read.schema(OBS).parquet(f"{path}/obs"))
+def _read_clustered(spark: SparkSession, path: str, schema, matrices: list[str] | None) -> DataFrame:
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField("of", T.IntegerType()), T.StructField("bucket", T.IntegerType())])).parquet(path)
+    if matrices is not None:
+        # a condition on folders only, so other buckets are not listed into the scan; sorted files skip by their statistics
+        buckets = [F.pmod(F.hash(F.lit(m)), F.col("of")) for m in matrices]
+        df = df.filter(F.col("bucket").isin(buckets) & F.col("matrix_id").isin(matrices)) if matrices else df.filter(F.lit(False))
+    return df.select(*[f.name for f in schema.fields])
+
+
+def read_observations(spark: SparkSession, path: str, matrices: list[str] | None = None) -> DataFrame:
+    """The stored observations, of all matrices or of those named; only the buckets of these are read."""
+    return complete(_read_clustered(spark, f"{path}/obs", OBS, matrices))
 
 
-def read_covariance(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COV).parquet(f"{path}/cov")
+def read_covariance(spark: SparkSession, path: str, matrices: list[str] | None = None) -> DataFrame:
+    return _read_clustered(spark, f"{path}/cov", COV, matrices)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -132,5 +168,5 @@ def read_results(spark: SparkSession, path: str, schema, fmt: str = "json") -> D
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    """A report table as one CSV file; one row per matrix, so one task writes it."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report table as CSV files, as many as it has partitions."""
+    df.write.mode("overwrite").option("header", True).csv(path)

@@ -1,5 +1,7 @@
+import glob
 import hashlib
 import json
+import re
 import tempfile
 
 import numpy as np
@@ -36,6 +38,33 @@ def test_parquet_round_trip_with_covariance(spark, synthetic, folder):
     assert observations.read_covariance(spark, folder).count() == c.count()
 
 
+def test_store_is_clustered(spark, folder):
+    """Files follow from rows, not from matrices; a hot matrix is split; naming matrices prunes folders."""
+    hot = spark.range(4000).select(F.lit("hot").alias("matrix_id"), F.col("id").alias("seq"), (F.col("id") % 7).cast("int").alias("row_idx"), F.lit(1).alias("col_idx"), F.rand(1).alias("value"))
+    many = spark.range(2000).select(F.concat(F.lit("m"), "id").alias("matrix_id"), F.col("id").alias("seq"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.rand(2).alias("value"))
+    obs = observations.complete(hot.unionByName(many))
+    observations.write_observations(obs, folder + "/c", rows_per_file=1000)
+    files = glob.glob(folder + "/c/obs/of=8/bucket=*/*.parquet")
+    assert 8 <= len(files) <= 16
+    back = observations.read_observations(spark, folder + "/c")
+    assert sorted(back.collect()) == sorted(obs.collect())
+    one = observations.read_observations(spark, folder + "/c", ["m17", "m18"])
+    assert sorted(r["matrix_id"] for r in one.collect()) == ["m17", "m18"]
+    assert re.search(r"PartitionFilters: \[[^\n]*bucket#\d+ IN \(pmod\(", one._jdf.queryExecution().executedPlan().toString())
+    assert observations.read_observations(spark, folder + "/c", []).count() == 0
+    observations.write_observations(obs.limit(0), folder + "/e")
+    assert observations.read_observations(spark, folder + "/e").count() == 0
+
+
+def test_containing(spark):
+    labels = ["alpha", "beta", "al", "a", "γγ", "", None, "xalphax"]
+    patterns = ["al", "a", "alpha", "", "γ", "pha", "zzz", None, "betaa"]
+    got = validate.containing(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(x,) for x in patterns], "pattern string"))
+    want = {(p, x) for p in patterns for x in labels if p is not None and x is not None and p in x}
+    rows = [(r["pattern"], r["label"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
 def test_json_round_trip(spark, synthetic, folder):
     obs = observations.complete(labelled(spark, synthetic))
     observations.write_json(obs, folder + "/j")
@@ -282,6 +311,8 @@ def test_spot_checks(spark):
     r = {x["check_id"]: x for x in validate.spot_checks(cells, want).collect()}
     assert r[1]["passed"] and r[1]["tier"] == 0 and r[2]["passed"] and r[2]["tier"] == 1
     assert r[3]["tier"] == 2 and r[3]["matched_row"] == "VBF_x" and not r[3]["passed"] and not r[4]["passed"] and "not found" in r[4]["message"]
+    plan = validate.spot_checks(cells, want)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     rep = validate.identity_report(validate.spot_checks(cells, want)).first()
     assert rep["n_checks"] == 4 and rep["n_passed"] == 2 and not rep["all_passed"]
 

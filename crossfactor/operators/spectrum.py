@@ -14,7 +14,7 @@ from crossfactor.session import cut
 
 
 def singular_values(
-    obs: DataFrame, k: int, weighted: bool = True, rounds: int = 100, group_max_cells: int = 1_000_000, tol: float = 1e-11
+    obs: DataFrame, k: int, weighted: bool = True, rounds: int = 100, group_max_cells: int = 1_000_000, tol: float = 1e-9
 ) -> DataFrame:
     """The ``k`` largest singular values per key as rows (k, s, settled).
 
@@ -42,18 +42,23 @@ def singular_values(
 
 #: Directions below this share of the largest squared singular value of a block count as zero.
 _NEGLIGIBLE = 1e-14
+#: Most columns for which a block is made as wide as the matrix.
+_WIDEST = 64
 
 
 def _by_blocks(cells: DataFrame, keys: list[str], k: int, rounds: int, tol: float) -> DataFrame:
-    """Subspace iteration with a block of 2k + 8 random vectors, one array per row or column.
+    """Subspace iteration with a block of random vectors, one array per row or column.
 
+    The block has 2k + 8 vectors, or as many as there are columns where that is at most ``_WIDEST``: then it spans the
+    matrix and the first round has all values.
     A half-step multiplies the stored cells with the whole block; the block is made orthonormal from its Gram matrix,
     the only thing that is gathered (one small matrix per key). The Gram matrix of the other half-step holds the values.
     Matrices that have settled leave the loop.
     """
-    width = 2 * k + 8
+    cols = cut(cells.select(*keys, "col_idx").distinct())
+    most = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    width = most if 2 * k + 8 < most <= _WIDEST else 2 * k + 8
     layout = _Layout(cells, keys, 0)
-    cols = cells.select(*keys, "col_idx").distinct()
     block = cols.select(*keys, "col_idx", F.array(*[hashed_uniform("block", F.col("col_idx"), i) - 0.5 for i in range(width)]).alias("f"))
 
     def times(f: DataFrame, known: str, wanted: str) -> DataFrame:

@@ -66,6 +66,31 @@ def priority_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(mean_cells(named))
 
 
+def grouped_priority_cells(spark: SparkSession, sf_dir: str, leave_out: bool) -> DataFrame:
+    """Nation x order year for all orders and for groups of priorities, from one scan.
+
+    ``leave_out``: matrices ``full`` and ``without <priority>``; else ``combined`` and one per priority. The moments per
+    (priority, nation, year) are what is repeated per matrix, never the orders.
+    """
+    orders = table(spark, sf_dir, "orders").withColumn("yr", F.year("o_orderdate"))
+    m = moments(orders, ["o_custkey", "o_orderpriority", "yr"], F.col("o_totalprice"))
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    m = cut(merge_moments(m.join(cust, F.col("o_custkey") == F.col("c_custkey")), ["o_orderpriority", "c_nationkey", "yr"]))
+    if leave_out:
+        everyone = m.agg(F.collect_set("o_orderpriority")).scalar()
+        rest = F.array_remove(F.col("_all"), F.col("o_orderpriority"))
+        names = F.concat(F.array(F.lit("full")), F.transform(rest, lambda x: F.concat(F.lit("without "), x)))
+        m = m.withColumn("_all", everyone)
+    else:
+        names = F.array(F.lit("combined"), F.col("o_orderpriority"))
+    m = merge_moments(m.withColumn("matrix_id", F.explode(names)), ["matrix_id", "c_nationkey", "yr"])
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    named = m.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "matrix_id", F.col("n_name").alias("row_label"), F.format_string("year=%d", F.col("yr")).alias("col_label"), "n", "mean", "m2"
+    )
+    return indexed(mean_cells(named))
+
+
 def line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line as one observation of (part, supplier nation): unit price with a 10 percent error.
 

@@ -37,12 +37,14 @@ COSINE = _EMJ + "SELECT source_a, source_b, count(*) AS n, round(sum(a * b) / sq
 
 def spearman_pairs(spark, sf):
     out = replicate.spearman(_embedding_pairs(spark, sf), replicate.PAIR)
-    return out.select(*replicate.PAIR, F.round("spearman", 8).alias("spearman"))
+    return out.select(*replicate.PAIR, F.round("spearman", 8).alias("spearman"), F.round("spearman_p", 8).alias("spearman_p"))
 
 
 SPEARMAN = _EMJ + """, r AS (SELECT source_a, source_b, rank() OVER (PARTITION BY source_a, source_b ORDER BY abs(a)) + (count(*) OVER (PARTITION BY source_a, source_b, abs(a)) - 1) / 2 AS ra,
  rank() OVER (PARTITION BY source_a, source_b ORDER BY abs(b)) + (count(*) OVER (PARTITION BY source_a, source_b, abs(b)) - 1) / 2 AS rb FROM j)
-SELECT source_a, source_b, round(corr(ra, rb), 8) AS spearman FROM r GROUP BY source_a, source_b"""
+SELECT source_a, source_b, round(c, 8) AS spearman,
+ round(1 - abs(c) * list_sum(list_transform(range(n // 2 - 1), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4.0) + k * ln(1 - c * c)))), 8) AS spearman_p
+FROM (SELECT source_a, source_b, corr(ra, rb) AS c, count(*) AS n FROM r GROUP BY source_a, source_b)"""
 
 
 def vector_cosines(spark, sf):
@@ -63,8 +65,10 @@ def _priority_modes(spark, sf):
     return m.select("mode_id", "axis", "idx", "val", F.when(F.col("axis") == "col", F.col("idx").cast("double")).alias("grid"))
 
 
-_MODES_SQL = s.with_(s.CC, s.als("cc", ["matrix_id"], 2, 6)) + """, ids AS (SELECT matrix_id AS id, count(DISTINCT col_idx) AS nv, count(DISTINCT row_idx) AS nu FROM cc GROUP BY 1),
-al AS (SELECT a.id AS source_a, b.id AS source_b, a.nv = b.nv AND a.nu = b.nu AS comparable FROM ids a JOIN ids b ON a.id < b.id), pr AS (SELECT * FROM al WHERE comparable),
+def modes_sql(base: str, src: str, pairs: str) -> str:
+    """Modes of ``src`` and their comparisons, for the pairs that ``pairs`` admits."""
+    return s.with_(base, s.als(src, ["matrix_id"], 2, 6)) + f""", ids AS (SELECT matrix_id AS id, count(DISTINCT col_idx) AS nv, count(DISTINCT row_idx) AS nu FROM {src} GROUP BY 1),
+al AS (SELECT a.id AS source_a, b.id AS source_b, a.nv = b.nv AND a.nu = b.nu AS comparable FROM ids a JOIN ids b ON {pairs}), pr AS (SELECT * FROM al WHERE comparable),
 jv AS (SELECT source_a, source_b, x.col_idx AS idx, x.v2 AS a, y.v2 AS b FROM pr JOIN f_vv x ON x.matrix_id = source_a JOIN f_vv y ON y.matrix_id = source_b AND y.col_idx = x.col_idx),
 ju AS (SELECT source_a, source_b, x.u2 AS a, y.u2 AS b FROM pr JOIN f_uu x ON x.matrix_id = source_a JOIN f_uu y ON y.matrix_id = source_b AND y.row_idx = x.row_idx),
 cv AS (SELECT source_a, source_b, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS v, arg_max(idx, (abs(a), -idx)) AS pa, arg_max(idx, (abs(b), -idx)) AS pb, count(*) AS n FROM jv GROUP BY 1, 2),
@@ -74,6 +78,9 @@ cmp AS (SELECT source_a, source_b, abs(v) AS v2_cosine, CASE WHEN v < 0 THEN -u
 """
 
 
+_MODES_SQL = modes_sql(s.CC, "cc", "a.id < b.id")
+
+
 def compare_direct(spark, sf):
     m = _priority_modes(spark, sf)
     out = replicate.compare_direct(m, replicate.unordered_pairs(m))
@@ -97,11 +104,15 @@ def replication_report(spark, sf):
     )
 
 
-REPORT = _MODES_SQL + f"""SELECT 'orders' AS dataset, (SELECT count(*) FROM al) AS n_comparisons, bool_and({_GRADE} IN ('excellent', 'good')) AS all_replicate,
+def report_sql(modes: str, dataset: str) -> str:
+    return modes + f"""SELECT '{dataset}' AS dataset, (SELECT count(*) FROM al) AS n_comparisons, bool_and({_GRADE} IN ('excellent', 'good')) AS all_replicate,
  arg_max(source_a || ' vs ' || source_b, score) AS best_comparison, arg_min(source_a || ' vs ' || source_b, score) AS worst_comparison,
  round(avg(v2_cosine), 4) AS mean_v2_cosine, round(avg(score), 4) AS mean_replication_score FROM cmp"""
 
 
+REPORT = report_sql(_MODES_SQL, "orders")
+
+
 def compare_interpolated(spark, sf):
     """Event curves of different types as modes on their own day grids, compared over their overlap."""
     cv = cellsets.event_curves(spark, sf)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crossfactor.operators import fit as fitops, ranktest, resample
+from crossfactor.operators import fit as fitops, ranktest, resample, spectrum
 from crossfactor.operators.fit import FitOptions
 from crossfactor.plans import cellsets
 from crossfactor.registry import sqltext as s
+from crossfactor.registry.spectra import _SHIFTED, _gram, _leading
 
 #: Fixed rounds, so that the check engine can follow.
 FIXED = FitOptions(max_iter=6, tol=0.0, start_rounds=2)
@@ -224,24 +225,46 @@ SELECT matrix_id,
 FROM p JOIN f_lam USING (matrix_id)"""
 
 
+#: Three rounds with a tolerance that some matrices meet by then and others do not.
+_HEALTH = FitOptions(max_iter=3, tol=2e-7, start_rounds=2, rank=1)
+
+
 def fit_health(spark, sf):
+    """Health of rank-one fits that stop early: flags from the fit itself, with gradient and condition."""
     cells = cellsets.priority_cells(spark, sf)
-    t = fitops.fit(cells, FIXED1, unique=True)
-    g = ranktest.gradient_norm(cells, t)
-    h = ranktest.fit_health(t.summary.withColumn("converged_rank1", F.lit(True)), t)
-    h = h.drop("gradient_norm").join(g.select("matrix_id", "gradient_norm"), "matrix_id")
+    t = fitops.fit(cells, _HEALTH, unique=True)
+    condition = spectrum.condition_number(spectrum.singular_values(cells, 7))
+    h = ranktest.fit_health(t.summary, t, gradient=ranktest.gradient_norm(cells, t), condition=condition)
     return h.select(
-        "matrix_id", F.round("chi2_ndof", 6).alias("chi2_ndof"), "is_underconstrained", "is_catastrophically_bad",
-        "passed", "severity",
+        "matrix_id", F.round("chi2_ndof", 6).alias("chi2_ndof"), F.round(F.log10("gradient_norm"), 4).alias("log_gradient"),
+        F.round("condition_number", 4).alias("condition_number"), "converged", "is_underconstrained", "is_catastrophically_bad",
+        "is_gradient_ok", "passed", "passed_strict", "severity", F.concat_ws("; ", "messages").alias("messages"),
+        F.concat_ws("; ", "warnings").alias("warnings"),
     )
 
 
-FIT_HEALTH = s.with_(s.CC, s.als("cc", ["matrix_id"], 2, 6, 1), s.cte("big", "SELECT matrix_id, max(abs(u * s)) AS mp FROM f_u JOIN f_s USING (matrix_id) GROUP BY matrix_id")) + """,
-h AS (SELECT matrix_id, sum(wc * r * r) / (count(*) - (count(DISTINCT row_idx) + count(DISTINCT col_idx) - 1)) AS x FROM f_r1 GROUP BY matrix_id)
-SELECT matrix_id, round(x, 6) AS chi2_ndof, x < 0.1 AS is_underconstrained, x > 10 AS is_catastrophically_bad,
-       NOT (x < 0.1 OR x > 10) AS passed,
-       CASE WHEN x < 0.1 OR x > 10 THEN 'error' WHEN x < 0.3 OR x > 3 OR mp > 1e6 THEN 'warning' ELSE 'ok' END AS severity
-FROM h JOIN big USING (matrix_id)"""
+_NOTES = "array_to_string(list_filter([{}], lambda m: m IS NOT NULL), '; ')"
+FIT_HEALTH = s.with_(s.CC, s.als("cc", ["matrix_id"], 2, 3, 1), _gram("cc", "value / total_err"), _leading("g0", "top", 14), _SHIFTED, _leading("sh", "low", 24)) + """,
+big AS (SELECT matrix_id, max(mp) AS mp FROM (SELECT matrix_id, abs(u * s) AS mp FROM f_u JOIN f_s USING (matrix_id) UNION ALL SELECT matrix_id, abs(v) FROM f_v) GROUP BY matrix_id),
+c0 AS (SELECT matrix_id, sum(w * (y - a.u * b.v) * (y - a.u * b.v)) AS c0 FROM f_c JOIN f_u2 a USING (matrix_id, row_idx) JOIN f_v2 b USING (matrix_id, col_idx) GROUP BY matrix_id),
+c1 AS (SELECT matrix_id, sum(w * r * r) AS c1, sum(wc * r * r) / (count(*) - (count(DISTINCT row_idx) + count(DISTINCT col_idx) - 1)) AS x FROM f_r1 GROUP BY matrix_id),
+gr AS (SELECT matrix_id, sqrt(sum(g * g)) AS g FROM (
+ SELECT matrix_id, sum(-2 * wc * r * v / s) AS g FROM f_r1 JOIN f_v USING (matrix_id, col_idx) JOIN f_s USING (matrix_id) GROUP BY matrix_id, row_idx
+ UNION ALL SELECT matrix_id, sum(-2 * wc * r * u) FROM f_r1 JOIN f_u USING (matrix_id, row_idx) GROUP BY matrix_id, col_idx) GROUP BY matrix_id),
+h AS (SELECT matrix_id, x, g, mp, sqrt(t.l / (t.l - b.l)) AS c, abs(c0 - c1) < 2e-7 * greatest(1.0, c1) AS converged
+ FROM c0 JOIN c1 USING (matrix_id) JOIN gr USING (matrix_id) JOIN big USING (matrix_id) JOIN topl t USING (matrix_id) JOIN lowl b USING (matrix_id)),
+n AS (SELECT *, converged AND NOT (x < 0.1 OR x > 10 OR c > 1e10) AS passed, """ + _NOTES.format(
+    "CASE WHEN NOT converged THEN 'fit did not converge' END, CASE WHEN x < 0.1 THEN printf('chi2/ndof = %.3f is suspiciously low', x) END, "
+    "CASE WHEN x > 10 THEN printf('chi2/ndof = %.3f is far too high', x) END, CASE WHEN c > 1e10 THEN 'problem is ill-conditioned' END, "
+    "CASE WHEN g > 1e-3 THEN 'gradient does not vanish' END"
+) + " AS messages, " + _NOTES.format(
+    "CASE WHEN x > 0.1 AND x < 0.3 THEN printf('chi2/ndof = %.3f is low', x) END, CASE WHEN x > 3 AND x < 10 THEN printf('chi2/ndof = %.3f is elevated', x) END, "
+    "CASE WHEN c > 1e6 AND c <= 1e10 THEN 'condition is elevated' END, CASE WHEN g > 1e-6 AND g <= 1e-3 THEN 'gradient is elevated' END, "
+    "CASE WHEN mp > 1e6 THEN 'very large parameters' END"
+) + """ AS warnings FROM h)
+SELECT matrix_id, round(x, 6) AS chi2_ndof, round(log10(g), 4) AS log_gradient, round(c, 4) AS condition_number, converged, x < 0.1 OR c > 1e10 AS is_underconstrained,
+ x > 10 AS is_catastrophically_bad, g <= 1e-3 AS is_gradient_ok, passed, passed AND g <= 1e-3 AND warnings = '' AS passed_strict,
+ CASE WHEN NOT passed THEN 'error' WHEN warnings <> '' THEN 'warning' ELSE 'ok' END AS severity, messages, warnings FROM n"""
 
 
 def multistart_best(spark, sf):

@@ -160,7 +160,8 @@ _ROLES = ["Q2", "beta", "xP", "value", "stat_err", "sys_err", "total_err"]
 
 def header_roles(names: Column, labels: list[str]) -> Column:
     """Where each role stands in a header list: ``role -> (pos, label)``, the label naming an error of that column; null
-    when a required role is missing. Lists repeat, so each is resolved once a task."""
+    when a required role is missing. Lists repeat, so each is resolved once a task. Not deterministic to the optimizer, so
+    that filters on the outcome stay above it."""
 
     @F.pandas_udf("array<struct<role:string,pos:int,label:string>>")
     def resolve(lists: pd.Series) -> pd.Series:
@@ -181,32 +182,46 @@ def header_roles(names: Column, labels: list[str]) -> Column:
 
         return pd.Series([one(x) for x in lists], dtype=object)
 
-    return F.map_from_entries(F.transform(resolve(names), lambda r: F.struct(r["role"], F.struct(r["pos"], r["label"]))))
+    return F.map_from_entries(F.transform(resolve.asNondeterministic()(names), lambda r: F.struct(r["role"], F.struct(r["pos"], r["label"]))))
+
+
+def _with_roles(tables: DataFrame, keep_names: list[str]) -> DataFrame:
+    """Tables with ``_roles``, null where a required role is missing. Roles are found once for each distinct header list;
+    the lists come from a pass over the header column alone and meet the tables again by equality."""
+    lists = tables.select(F.coalesce("headers.name", F.array()).alias("_names")).distinct()
+    roles = header_roles(F.col("_names"), keep_names)
+    lists = lists.withColumn("_r", roles).select(
+        F.col("_names"), F.when(F.col("_r").isNotNull(), F.struct(*[F.col("_r")[r].alias(r) for r in _ROLES])).alias("_roles")
+    )
+    return tables.withColumn("_names", F.coalesce("headers.name", F.array())).join(lists, "_names")
 
 
 def usable_tables(tables: DataFrame, by: list[str], keep_names: list[str]) -> DataFrame:
-    """All tables of the records whose columns can play the required roles, mapped and appended: one scan, values read by
-    their position. ``unusable_tables`` lists the others."""
-    t = tables.withColumn("_roles", header_roles(F.col("headers.name"), keep_names)).filter(F.col("_roles").isNotNull())
-    t = t.select(*by, "_roles", F.posexplode("values").alias("pos", "v"))
-    nx = F.size("v.x")
+    """All tables of the records whose columns can play the required roles, mapped and appended: values are read by their
+    position, and no table row goes through Python. ``unusable_tables`` lists the others.
 
-    def value(role: str) -> Column:
+    The roles are read before the rows are exploded, so that no later filter evaluates them again.
+    """
+
+    def value(v: Column, role: str) -> Column:
         pos, label = F.col("_roles")[role]["pos"], F.col("_roles")[role]["label"]
-        own = F.get(F.col("v.y"), pos - nx)
-        error = F.get(F.filter(own["errors"], lambda e: e["label"] == label), F.lit(0))
-        plain = F.when(pos < nx, F.get(F.col("v.x"), pos)["value"]).otherwise(own["value"]).try_cast("double")
-        return F.when(label.isNotNull(), F.when(error.isNotNull(), _size(error))).otherwise(plain)
+        own = F.get(v["y"], pos - F.size(v["x"]))
+        error = F.get(F.transform(F.filter(own["errors"], lambda e: e["label"] == label), _size), F.lit(0))
+        plain = F.when(pos < F.size(v["x"]), F.get(v["x"], pos)["value"]).otherwise(own["value"]).try_cast("double")
+        return F.when(label.isNotNull(), error).otherwise(plain).alias(role)
+
+    t = _with_roles(tables, keep_names).filter(F.col("_roles").isNotNull())
+    rows = F.transform("values", lambda v: F.struct(*[value(v, r) for r in _ROLES]))
+    t = t.select(*by, F.posexplode(rows).alias("pos", "v")).select(*by, "pos", "v.*")
 
     from crossfactor.operators.wrangle import complete_roles
 
-    return complete_roles(t.select(*by, "pos", *[value(r).alias(r) for r in _ROLES]))
+    return complete_roles(t)
 
 
 def unusable_tables(tables: DataFrame, by: list[str], keep_names: list[str]) -> DataFrame:
     """The tables that ``usable_tables`` leaves out, with their header lists."""
-    names = F.col("headers.name")
-    return tables.select(*by, names.alias("names"), header_roles(names, keep_names).alias("_r")).filter(F.col("_r").isNull()).drop("_r")
+    return _with_roles(tables, keep_names).filter(F.col("_roles").isNull()).select(*by, F.col("headers.name").alias("names"))
 
 
 def correlation_file(spark: SparkSession, path: str, matrix_id: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["calibrate", "cells", "correlated", "curves", "fits", "modes", "presets", "relate", "sourcing", "spectra", "strategies"]
+MODULES = ["calibrate", "cells", "correlated", "curves", "exact", "fits", "modes", "presets", "relate", "sourcing", "spectra", "strategies"]
 
 
 def entries() -> dict:

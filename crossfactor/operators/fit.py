@@ -43,6 +43,7 @@ class FitOptions:
     check_every: int = 5  # rounds between looks at the cost; the same for every size
     salt: int = 0  # pieces of a row or column in the relational form; 0: as many as the heaviest one needs
     relational_rows: int = 2_000_000_000  # pseudo-cells kept at once for matrices in the relational form
+    accelerate: bool = False  # extrapolate between rounds of the relational form: same fixed point, fewer rounds
 
 
 @dataclass
@@ -393,8 +394,37 @@ def _power(layout: _Layout, cols: DataFrame, vec: str, value: str, rounds: int)
     return cols
 
 
+def _extrapolated(v0: DataFrame, v1: DataFrame, v2: DataFrame, keys: list[str], vn: list[str]) -> DataFrame:
+    """Column factors ahead of three successive ones, by the squared extrapolation of fixed-point iterations (SQUAREM): with
+    r = v1 - v0, s = v2 - 2 v1 + v0 and a step a = max(1, |r| / |s|) of each key, v0 + 2 a r + a^2 s. A step of one gives v2."""
+    pick = lambda d, p: d.select(*keys, "col_idx", *[F.col(n).alias(f"{p}{n}") for n in vn])
+    on = [*keys, "col_idx"]
+    j = pick(v0, "_0").join(pick(v1, "_1"), on).join(pick(v2, "_2"), on)
+    r = {n: F.col(f"_1{n}") - F.col(f"_0{n}") for n in vn}
+    s = {n: F.col(f"_2{n}") - 2 * F.col(f"_1{n}") + F.col(f"_0{n}") for n in vn}
+    square = lambda x: F.sum(sum((x[n] * x[n] for n in vn), F.lit(0.0)))
+    step = j.groupBy(*keys).agg(square(r).alias("_rr"), square(s).alias("_ss"))
+    a = F.when(F.col("_ss") > 0, F.greatest(F.lit(1.0), F.sqrt(F.col("_rr") / F.col("_ss")))).otherwise(1.0)
+    step = step.select(*keys, a.alias("_a"))
+    a = F.col("_a")
+    return j.join(step, keys).select(*on, *[(F.col(f"_0{n}") + 2 * a * r[n] + a * a * s[n]).alias(n) for n in vn])
+
+
+def _not_worse(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """The new column factors of the keys whose cost has not risen, the old ones of the others."""
+    cost = lambda d, name: d.groupBy(*keys).agg(F.sum("share").alias(name))
+    both = cost(old, "_c0").join(cost(new, "_c1"), keys, "left")
+    fine = cut(both.select(*keys, F.coalesce((F.col("_c1") <= F.col("_c0")) & ~F.isnan("_c1"), F.lit(False)).alias("_ok")))
+    good, bad = fine.filter("_ok").select(*keys), fine.filter(~F.col("_ok")).select(*keys)
+    return new.join(good, keys, "left_semi").unionByName(old.join(bad, keys, "left_semi"))
+
+
 def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOptions):
+    """Rounds until every key has settled. With ``accelerate`` each two plain rounds are followed by one from factors
+    extrapolated ahead of them, which a key keeps only if its cost has not risen; the stopping rule compares the two plain
+    rounds, and a loop that may not finish three more ends with plain ones."""
     keys = layout.keys
+    in_cycle, ahead = 0, False
     un, vn = (["u"], ["v"]) if rank == 1 else (["u1", "u2"], ["v1", "v2"])
     done_rows, done_cols, done_status = [], [], []
     for it in range(1, opt.max_iter + 1):
@@ -406,7 +436,16 @@ def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOption
         back = back.select("*", *_solution(vn, opt.ridge))
         before, cols = cols, cut(back.select(*keys, "col_idx", *vn, _cost_share(vn).alias("share")))
         last = it == opt.max_iter
-        if not last and (opt.tol == 0 or it % opt.check_every):
+        if opt.accelerate:
+            in_cycle += 1
+            if ahead:
+                cols, in_cycle, ahead = cut(_not_worse(cols, plain, keys)), 0, False
+                continue
+            if in_cycle == 1:
+                earlier = before
+            if not last and in_cycle < 2:
+                continue
+        elif not last and (opt.tol == 0 or it % opt.check_every):
             continue
         cost = lambda df, name: df.groupBy(*keys).agg(F.sum("share").alias(name))
         new = cost(cols, "new_cost")
@@ -429,6 +468,11 @@ def _relational_loop(layout: _Layout, cols: DataFrame, rank: int, opt: FitOption
             break
         if n_leave:
             cols = cols.join(leave.select(*keys), keys, "left_anti")
+        if opt.accelerate:
+            in_cycle = 0
+            if it + 3 <= opt.max_iter:
+                plain, ahead = cols, True
+                cols = cut(_extrapolated(earlier, before, cols, keys, vn))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]

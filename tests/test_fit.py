@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import dense_als, frame
+from conftest import dense_als, frame, noisy
 from pyspark.sql import functions as F
 
 from crossfactor.operators import fit as fitops, ranktest, resample
@@ -180,3 +180,30 @@ def test_calibration_of_p_values(spark):
     p = ranktest.rank_test(frame(spark, tables), 99).summary.select(F.lit("all").alias("g"), F.col("p_value").alias("p"))
     r = validate.calibration_report(p, ["g"], 60).first()
     assert r["n"] == 60 and r["ks_pvalue"] > 0.01 and r["rate_calibrated"] and r["null_passed"]
+
+
+def test_accelerated_rounds_reach_the_same_point_sooner(spark):
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((9, 2)) @ rng.standard_normal((2, 7))
+    y, e = noisy(m, 11, 0.05, 0.3)
+    hole = rng.random(m.shape) > 0.75
+    hole[0] = hole[:, 0] = False
+    y[hole] = np.nan
+    cells = frame(spark, {"holes": (y, e)})
+    ahead = fitops.fit(cells, FitOptions(tol=1e-9, start_rounds=2, rank=1, accelerate=True), unique=True, form="relational").summary.first()
+    plain = fitops.fit(cells, FitOptions(tol=1e-9, start_rounds=2, rank=1, check_every=1), unique=True, form="grouped").summary.first()
+    exact = fitops.fit(cells, FitOptions(tol=1e-14, rank=1), unique=True, form="grouped").summary.first()
+    assert ahead.converged_rank1 and ahead.n_iter_rank1 < plain.n_iter_rank1
+    assert ahead.chi2_rank1 == pytest.approx(exact.chi2_rank1, rel=1e-8)
+
+
+def test_accelerated_rounds_end_with_plain_ones(spark, synthetic):
+    """A limit in the middle of a cycle still leaves factors that belong together, and unsettled keys say so."""
+    cells = frame(spark, {"rank2": synthetic["rank2"][:2]})
+    for limit in (1, 4):
+        opt = FitOptions(max_iter=limit, tol=0.0, start_rounds=2, rank=1, accelerate=True)
+        t = fitops.fit(cells, opt, unique=True, form="relational")
+        r = t.summary.first()
+        p = fitops.predict(cells, t, 1).toPandas()
+        assert r.n_iter_rank1 == limit and not r.converged_rank1
+        assert (((p.value - p.pred1) / p.total_err) ** 2).sum() == pytest.approx(r.chi2_rank1, rel=1e-9)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crossfactor.schemas import PUBLISHED_RECORD, PUBLISHED_TABLE
+from crossfactor.session import cut
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -155,6 +156,8 @@ def first_xy(tables: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("total_err", F.hypot("stat_err", "sys_err"))
 
 
+#: Distinct header lists that may travel to every task.
+FEW_LISTS = 20_000
 _ROLES = ["Q2", "beta", "xP", "value", "stat_err", "sys_err", "total_err"]
 
 
@@ -187,12 +190,17 @@ def header_roles(names: Column, labels: list[str]) -> Column:
 
 def _with_roles(tables: DataFrame, keep_names: list[str]) -> DataFrame:
     """Tables with ``_roles``, null where a required role is missing. Roles are found once for each distinct header list;
-    the lists come from a pass over the header column alone and meet the tables again by equality."""
+    the lists come from a pass over the header column alone, are stored and counted, and meet the tables again by equality:
+    broadcast up to ``FEW_LISTS``, so that tables are not shuffled by the few lists they share, and beyond that as Spark
+    sees fit."""
     lists = tables.select(F.coalesce("headers.name", F.array()).alias("_names")).distinct()
     roles = header_roles(F.col("_names"), keep_names)
     lists = lists.withColumn("_r", roles).select(
         F.col("_names"), F.when(F.col("_r").isNotNull(), F.struct(*[F.col("_r")[r].alias(r) for r in _ROLES])).alias("_roles")
     )
+    lists = cut(lists)
+    if lists.count() <= FEW_LISTS:
+        lists = F.broadcast(lists)
     return tables.withColumn("_names", F.coalesce("headers.name", F.array())).join(lists, "_names")
 
 

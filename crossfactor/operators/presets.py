@@ -201,13 +201,16 @@ def global_significance(observed: DataFrame, null: DataFrame, presets: DataFrame
 def sweep_summary(results: DataFrame) -> DataFrame:
     """Ranges, spread, best preset, agreement on significance and modal peak over the converged presets of a matrix.
 
+    The best preset has the largest statistic to six digits after the point; of equal ones the first listed. Presets that
+    keep the same cells differ in the last bits only.
+
     Needs ``preset, ord, lambda_stat, p_local, fit_converged`` and, where modes were taken, ``v2_peak_index``.
     """
     if "v2_peak_index" not in results.columns:
         results = results.withColumn("v2_peak_index", F.lit(None).cast("int"))
     ok = F.col("fit_converged")
     lam, p = F.when(ok, F.col("lambda_stat")), F.when(ok, F.col("p_local"))
-    rank = F.when(ok, F.struct(F.col("lambda_stat"), -F.col("ord")))
+    rank = F.when(ok, F.struct(F.round("lambda_stat", 6), -F.col("ord")))
     g = results.groupBy("matrix_id").agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(ok).alias("n_converged"),

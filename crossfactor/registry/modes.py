@@ -298,13 +298,13 @@ def sweep_summary(spark, sf):
 
 SUMMARY = _sweep_sql() + """, p AS (SELECT matrix_id, preset, any_value(f_lam.lambda_stat) AS lam, (count(*) FILTER (b_lam.lambda_stat >= f_lam.lambda_stat) + 1.0) / (count(*) + 1.0) AS p
  FROM b_lam JOIN f_lam USING (matrix_id, preset) GROUP BY matrix_id, preset),
-pk AS (SELECT matrix_id, preset, any_value(ord) AS ord, arg_max(col_idx, abs(v2)) AS peak FROM f_vv JOIN (SELECT DISTINCT preset, ord FROM sw) USING (preset) GROUP BY matrix_id, preset),
+pk AS (SELECT matrix_id, preset, any_value(ord) AS ord, arg_max(col_idx, (abs(v2), -col_idx)) AS peak FROM f_vv JOIN (SELECT DISTINCT preset, ord FROM sw) USING (preset) GROUP BY matrix_id, preset),
 pc AS (SELECT matrix_id, peak, count(*) AS n, min(ord) AS first FROM pk GROUP BY matrix_id, peak),
 pm AS (SELECT matrix_id, arg_max(peak, (n, -first)) AS mode, max(n) / sum(n) AS share FROM pc GROUP BY matrix_id)
-SELECT matrix_id, count(*) AS n_total, count(*) AS n_converged, arg_max(preset, lam) AS best_preset, count(DISTINCT p < 0.05) <= 1 AS all_agree_significance,
+SELECT matrix_id, count(*) AS n_total, count(*) AS n_converged, arg_max(preset, (round(lam, 6), -ord)) AS best_preset, count(DISTINCT p < 0.05) <= 1 AS all_agree_significance,
  any_value(mode) AS peak_mode, round(min(lam), 4) AS lambda_min, round(max(lam), 4) AS lambda_max, round(stddev_pop(lam), 4) AS lambda_std, round(min(p), 4) AS p_local_min,
  round(max(p), 4) AS p_local_max, round(stddev_pop(p), 4) AS p_local_std, round(any_value(share), 4) AS peak_consistency
-FROM p JOIN pm USING (matrix_id) GROUP BY matrix_id"""
+FROM p JOIN pm USING (matrix_id) JOIN (SELECT DISTINCT preset, ord FROM sw) USING (preset) GROUP BY matrix_id"""
 
 
 ENTRIES = {

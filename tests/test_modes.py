@@ -114,6 +114,14 @@ def test_sweep_summary(spark):
     assert r["b"]["best_preset"] == "none" and r["b"]["n_converged"] == 0 and r["b"]["p_local_min"] == 1
 
 
+def test_sweep_summary_of_presets_that_keep_the_same_cells(spark):
+    """A difference in the last bits does not choose the best preset; the first listed does."""
+    schema = "matrix_id string, preset string, ord int, lambda_stat double, p_local double, fit_converged boolean"
+    rows = [("a", "late", 3, 205.5714 + 1e-10, 0.4, True), ("a", "first", 0, 205.5714, 0.3, True), ("a", "low", 1, 57.651, 0.2, True)]
+    r = presets.sweep_summary(spark.createDataFrame(rows, schema)).first()
+    assert (r["best_preset"], r["best_p_local"]) == ("first", 0.3)
+
+
 def test_global_significance_counts_failures_as_zero(spark):
     obs = spark.createDataFrame([("a", "x", 4.0), ("a", "y", 2.0)], "matrix_id string, preset string, lambda_stat double")
     null = spark.createDataFrame(

@@ -12,7 +12,7 @@ from crossfactor.registry.fits import FIXED1
 
 def _two_layouts(df, by, column, make):
     """``make`` on the rows as they lie and on rows dealt out by another column; null-safe on the bits of each result."""
-    first, second = make(df), make(df.repartition(13, column))
+    first, second = make(df), make(df.repartition(F.col(column)))
     names = [c for c in first.columns if c not in by]
     other = second.select(*by, F.struct(*names).alias("_other"))
     return first.join(other, by).withColumn("same", F.struct(*names).eqNullSafe(F.col("_other"))).drop("_other")

@@ -74,3 +74,17 @@ def test_chi2_is_exact(spark):
     want = sum(Fraction((y - p) / e) ** 2 for _, y, p, e in rows)
     assert got[0] == got[1] and got[0].n_cells == 300
     assert got[0].chi2 == pytest.approx(float(want), rel=4e-16)
+
+
+def test_rows_meet_plain_arithmetic_only(spark):
+    """No function of arrays runs once a row: those are not compiled, and made the query several times as slow."""
+    df = spark.range(10).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"))
+    plan = exactsum.exact_moments(df, ["k"], F.col("x"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    deepest = max(i for i, line in enumerate(plan) if "Aggregate [" in line)
+    assert "lambda" not in "".join(plan[deepest:])
+
+
+def test_counts_of_the_first_column(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", None, 2.0), ("a", math.inf, None), ("b", None, None)], "k string, x double, y double")
+    got = exactsum.exact_sums(df, ["k"], {"s": [F.col("x"), F.col("y")], "t": F.col("y")}, counts=True)
+    assert {(r.k, r.s, r.s_n, r.t, r.t_n) for r in got.collect()} == {("a", math.inf, 2, 7.0, 2), ("b", None, 0, None, 0)}

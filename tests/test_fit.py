@@ -207,3 +207,34 @@ def test_accelerated_rounds_end_with_plain_ones(spark, synthetic):
         p = fitops.predict(cells, t, 1).toPandas()
         assert r.n_iter_rank1 == limit and not r.converged_rank1
         assert (((p.value - p.pred1) / p.total_err) ** 2).sum() == pytest.approx(r.chi2_rank1, rel=1e-9)
+
+
+def test_large_sides_give_what_small_ones_give(spark, synthetic, monkeypatch):
+    """Factors and keys that are too many to be sent are hashed; the numbers are the same."""
+    cells = frame(spark, {k: synthetic[k][:2] for k in ("rank2", "sparse")})
+    opt = FitOptions(max_iter=2, tol=0.0, start_rounds=1, rank=1, salt=2)
+    get = lambda: {r["matrix_id"]: (r["chi2_rank1"], r["n_rows"], r["n_cols"]) for r in fitops.fit(cells, opt, unique=True, form="relational").summary.collect()}
+    sent = get()
+    monkeypatch.setattr(fitops, "SENT", 0)
+    hashed = get()
+    assert set(sent) == set(hashed) == {"rank2", "sparse"}
+    for k in sent:
+        assert sent[k][0] == pytest.approx(hashed[k][0], rel=1e-9) and sent[k][1:] == hashed[k][1:]
+
+
+def test_no_matrix_meets_in_one_task(spark):
+    """Frames with a row per matrix and factors of a small side are sent, so cells are never hashed or sorted by matrix."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = spark.range(400).selectExpr("'m' AS matrix_id", "int(id % 80) AS row_idx", "int(id / 80) AS col_idx", "double(id) AS y", "1.0D AS w")
+        _, large, _ = fitops.split_by_size(cells, 10)
+        assert "SortMergeJoin" not in large._jdf.queryExecution().executedPlan().toString()
+        layout = fitops._Layout(cells, ["matrix_id"], 0)
+        v = spark.range(5).selectExpr("'m' AS matrix_id", "int(id) AS col_idx", "1.0D AS v")
+        plan = layout.half_step(v, "col_idx", "row_idx", ["v"])
+        assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert {r["row_idx"]: r["p"] for r in plan.collect()} == {i: sum(float(i + 80 * k) for k in range(5)) for i in range(80)}
+        layout.release()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from crossfactor.functions.noise import hashed_uniform
 from crossfactor.operators.cells import collapse
-from crossfactor.operators.fit import _Layout, split_by_size
+from crossfactor.operators.fit import _Layout, per_key, split_by_size
 from crossfactor.schemas import key_columns
 from crossfactor.session import cut
 
@@ -42,6 +42,8 @@ def singular_values(
 
 #: Directions below this share of the largest squared singular value of a block count as zero.
 _NEGLIGIBLE = 1e-14
+#: Bytes of turns that are sent to every task.
+_TURNS = 32 << 20
 #: Most columns for which a block is made as wide as the matrix.
 _WIDEST = 64
 
@@ -56,8 +58,9 @@ def _by_blocks(cells: DataFrame, keys: list[str], k: int, rounds: int, tol: floa
     Matrices that have settled leave the loop.
     """
     cols = cut(cells.select(*keys, "col_idx").distinct())
-    most = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    width = most if 2 * k + 8 < most <= _WIDEST else 2 * k + 8
+    n_cols = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    width = n_cols if 2 * k + 8 < n_cols <= _WIDEST else 2 * k + 8
+    most = _TURNS // (8 * width * width)
     layout = _Layout(cells, keys, 0)
     block = cols.select(*keys, "col_idx", F.array(*[hashed_uniform("block", F.col("col_idx"), i) - 0.5 for i in range(width)]).alias("f"))
 
@@ -68,7 +71,7 @@ def _by_blocks(cells: DataFrame, keys: list[str], k: int, rounds: int, tol: floa
 
     def turned(f: DataFrame, idx: str, basis: DataFrame) -> DataFrame:
         dot = lambda c: F.aggregate(F.zip_with(c, "f", lambda p, q: p * q), F.lit(0.0), lambda s, q: s + q)
-        return f.join(basis.select(*keys, "turn"), keys).select(*keys, idx, F.transform("turn", dot).alias("f"))
+        return f.join(per_key(basis.select(*keys, "turn"), layout.n_keys, most), keys).select(*keys, idx, F.transform("turn", dot).alias("f"))
 
     found, before = [], None
     for it in range(1, rounds + 1):
@@ -91,7 +94,7 @@ def _by_blocks(cells: DataFrame, keys: list[str], k: int, rounds: int, tol: floa
             break
         stay = now.filter(~leave)
         before = stay.select(*keys, F.col("s").alias("_s"))
-        block = turned(v, "col_idx", vb.join(stay.select(*keys), keys, "left_semi"))
+        block = turned(v, "col_idx", vb.join(layout.per_key(stay.select(*keys)), keys, "left_semi"))
     layout.release()
     out = found[0]
     for f in found[1:]:

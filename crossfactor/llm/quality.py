@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,8 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 BLANK = re.compile(r"\s")
 #: Buckets of n-grams; characters split at once; entries after which a worker's cache of tokens starts anew.
 BITS, SLICE, CACHE = 18, 1 << 20, 500_000
+#: Code points of the texts whose words are looked up together, and tokens whose runs are made together.
+GROUP, BLOCK = 1 << 23, 1 << 16
 #: The shape of a token that repeats the one before it; odd multipliers that tell n-grams of one length from another.
 AGAIN = np.uint64(0x27D4EB2F165667C5)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -27,7 +34,14 @@ def shape(word: str) -> str:
     """How a word is written: capitals, one capital first, small letters, another mixture; digits and signs as they are."""
     if not word[0].isalpha():
         return "9" if word[0].isdigit() else word[:4]
-    return "A" if word.isupper() and len(word) > 1 else "Aa" if word[0].isupper() and word[1:] == word[1:].lower() else "a" if word.islower() else "aA"
+    if word.islower():
+        return "a"
+    return "A" if word.isupper() and len(word) > 1 else "Aa" if word[0].isupper() and word[1:] == word[1:].lower() else "aA"
+
+
+@lru_cache(1 << 12)
+def shape_code(form: str) -> int:
+    return xxhash.xxh64_intdigest(form, seed=1)
 
 
 class _Codes(dict):
@@ -42,7 +56,7 @@ class _Codes(dict):
         if at >= len(self.word):
             self.word, self.shape = np.resize(self.word, 2 * at), np.resize(self.shape, 2 * at)
         self.word[at] = xxhash.xxh64_intdigest(token.lower())
-        self.shape[at] = xxhash.xxh64_intdigest(shape(token), seed=1)
+        self.shape[at] = shape_code(shape(token))
         return at
 
     def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +105,50 @@ def buckets(text: str, cache: _Codes, words: int = 2, shapes: int = 3):
         yield np.concatenate(out)
 
 
+def _blocks(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to ``most`` at most, or that are one alone."""
+    end, a = np.r_[0, np.cumsum(size)], 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(end, end[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+@dataclass
+class Tokens:
+    """Tokens of some texts: how many each text has, their numbers text after text, and both codes of each number."""
+
+    size: np.ndarray
+    number: np.ndarray
+    word: np.ndarray
+    shape: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Tokens:
+        """No token holds white space, so Arrow splits the texts there and each distinct piece is taken apart once."""
+        pieces = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        whole = np.fromiter(map(str.isalpha, distinct), bool, len(distinct))  # these are one token each
+        found = list(map(TOKEN.findall, distinct[~whole]))
+        tokens = [*distinct[whole], *chain.from_iterable(found)]
+        word = np.fromiter(map(xxhash.xxh64_intdigest, map(str.lower, tokens)), np.uint64, len(tokens))
+        form = np.fromiter(map(shape_code, map(shape, tokens)), np.uint64, len(tokens))
+
+        held = np.ones(len(distinct), np.int64)
+        held[~whole] = np.fromiter(map(len, found), np.int64, len(found))
+        order = np.argsort(~whole, kind="stable")  # as their tokens stand
+        first = np.empty(len(distinct), np.int64)
+        first[order] = np.cumsum(held[order]) - held[order]
+
+        # from a number for each piece of the texts to one for each token
+        piece = coded.indices.to_numpy()
+        n = held[piece]
+        end = np.r_[0, np.cumsum(n)]
+        number = np.repeat(first[piece] - end[:-1], n) + np.arange(end[-1])
+        return cls(np.diff(end[pieces.offsets.to_numpy()]), number, word, form)
+
+
 @dataclass
 class Model:
     """Weights of the buckets and the constant; a score is the logistic value of their mean over a text's n-grams."""
@@ -106,14 +164,48 @@ class Model:
     def __setstate__(self, state):
         self.__init__(**state)
 
+    def logistic(self, total, n):
+        """Scores of texts from the sum of weights and the number of their n-grams; without any there is the constant alone."""
+        z = self.bias + self.scale * total / np.maximum(n, 1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def score(self, text: str | None) -> float:
-        """The sparse dot product of shares of n-grams and weights; a text without a token has the constant alone."""
+        """The sparse dot product of shares of n-grams and weights, slice by slice of the text."""
         total, n = 0.0, 0
         for b in buckets(text or "", self.cache):
             total += float(self.weights[b].sum(dtype=np.float64))
             n += len(b)
-        z = self.bias + (self.scale * total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self.logistic(total, n))
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        """``score`` of each text; those of one slice are scored together, longer ones alone."""
+        texts = [t or "" for t in texts]
+        size = np.array([len(t) for t in texts], np.int64)
+        out = np.zeros(len(texts))
+        for i in np.flatnonzero(size > SLICE):
+            out[i] = self.score(texts[i])
+        short = np.flatnonzero(size <= SLICE)
+        for a, b in _blocks(size[short], GROUP):
+            out[short[a:b]] = self._together([texts[i] for i in short[a:b]])
+        return out
+
+    def _together(self, texts: list[str], words: int = 2, shapes: int = 3) -> np.ndarray:
+        """Scores of a group of texts, the runs of a block of them in one array."""
+        t = Tokens.of(texts)
+        total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        end = np.r_[0, np.cumsum(t.size)]
+        for a, b in _blocks(t.size, BLOCK):
+            number, size = t.number[end[a] : end[b]], t.size[a:b]
+            text = np.repeat(np.arange(b - a), size)
+            word, form = t.word[number], t.shape[number]
+            form[1:][(word[1:] == word[:-1]) & (text[1:] == text[:-1])] = AGAIN
+            for codes, n in ((word, words), (form, shapes)):
+                for k, run in enumerate(_runs(codes, n)):
+                    # a run belongs to the text of its last token, if its first one is there too
+                    weight = np.where(text[k:] == text[: len(run)], self.weights[run], 0)
+                    total[a:b] += np.bincount(text[k:], weight, b - a)
+                    count[a:b] += np.maximum(size - k, 0)
+        return self.logistic(total, count)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, weight: np.ndarray, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0,
@@ -192,7 +284,7 @@ def score_column(spark: SparkSession, model: Model, text: str = "text") -> Colum
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+        return pd.Series(shared.value.scores(texts))
 
     return score(F.col(text))
 

@@ -225,6 +225,35 @@ def test_follow_the_leader_learns_and_keeps_few_weights():
     assert (again.weights == m.weights).all() and again.bias == m.bias
 
 
+@pytest.mark.parametrize("slice_, group, block", [(1 << 20, 1 << 23, 1 << 16), (60, 200, 16), (60, 1, 1)])
+def test_texts_scored_together_equal_one_by_one(monkeypatch, slice_, group, block):
+    rng = np.random.default_rng(6)
+    words = ["ab", "AB", "Cd,", "12", "!!", "(x)", "e_f", "__", "ä1é", "ſΣ.", "²a", "’s", "语言", "a\u0301b"]
+    blanks = [" ", "\n", "  ", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "\u200b", ""]
+    some = ["".join(w + b for w, b in zip(rng.choice(words, n), rng.choice(blanks, n))) for n in rng.integers(0, 40, 150)]
+    some += [None, "", " \n ", "ab", "ab", "ab ab", " ab", "x", *["".join(rng.permutation(list("aB1 ,_\u00a0")).tolist()) for _ in range(50)]]
+    # eighths add up exactly in any order
+    m = quality.Model(np.round(rng.normal(size=1 << quality.BITS) * 8).astype(np.float32) / 8, 0.5, 2.0)
+    one = [m.score(t) for t in some]
+    for name, value in (("SLICE", slice_), ("GROUP", group), ("BLOCK", block)):
+        monkeypatch.setattr(quality, name, value)
+    assert m.scores(some).tolist() == one and len(m.scores([])) == 0
+
+
+def test_a_word_of_many_texts_is_taken_apart_once(monkeypatch):
+    seen = []
+
+    class Seen:
+        def findall(self, *where, pattern=quality.TOKEN):
+            seen.append(where[0])
+            return pattern.findall(*where)
+
+    monkeypatch.setattr(quality, "TOKEN", Seen())
+    m = quality.Model(np.ones(1 << quality.BITS, np.float32), 0.0, 1.0)
+    m.scores([f"some words, and more words, {i % 3}." for i in range(500)])
+    assert sorted(seen) == ["0.", "1.", "2.", "words,"]
+
+
 def test_score_of_edge_cases(spark):
     docs = spark.createDataFrame([(i, "plain words of a text that reads well" if i % 2 else "bad### words$$$ of%%% a&&& text***") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (1, None, 0), (500, 1, 0)], LABELS)

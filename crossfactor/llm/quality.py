@@ -125,8 +125,12 @@ class Tokens:
 
     @classmethod
     def of(cls, texts: list[str]) -> Tokens:
-        """No token holds white space, so Arrow splits the texts there and each distinct piece is taken apart once."""
-        pieces = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        """No token holds white space, so Arrow splits the texts there and each distinct piece is taken apart once.
+
+        A blank between a letter and a sign is where one token ends anyway, and leaves fewer pieces that are distinct.
+        """
+        spaced = pc.replace_substring_regex(pa.array(texts, pa.string()), "([A-Za-z])([.,])", r"\1 \2")
+        pieces = pc.ascii_split_whitespace(spaced)
         coded = pieces.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         whole = np.fromiter(map(str.isalpha, distinct), bool, len(distinct))  # these are one token each

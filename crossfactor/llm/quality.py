@@ -59,12 +59,15 @@ class _Codes(dict):
         self.shape[at] = shape_code(shape(token))
         return at
 
-    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def each(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > CACHE:
             self.__init__()
             self.clear()
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        word, form = self.word[at], self.shape[at]
+        return self.word[at], self.shape[at]
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        word, form = self.each(tokens)
         form[1:][word[1:] == word[:-1]] = AGAIN
         return word, form
 
@@ -124,7 +127,7 @@ class Tokens:
     shape: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str]) -> Tokens:
+    def of(cls, texts: list[str], cache: _Codes) -> Tokens:
         """No token holds white space, so Arrow splits the texts there and each distinct piece is taken apart once.
 
         A blank between a letter and a sign is where one token ends anyway, and leaves fewer pieces that are distinct.
@@ -135,9 +138,10 @@ class Tokens:
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         whole = np.fromiter(map(str.isalpha, distinct), bool, len(distinct))  # these are one token each
         found = list(map(TOKEN.findall, distinct[~whole]))
-        tokens = [*distinct[whole], *chain.from_iterable(found)]
-        word = np.fromiter(map(xxhash.xxh64_intdigest, map(str.lower, tokens)), np.uint64, len(tokens))
-        form = np.fromiter(map(shape_code, map(shape, tokens)), np.uint64, len(tokens))
+        words, parts = distinct[whole], list(chain.from_iterable(found))
+        word, form = cache.each(parts)  # signs and numbers, most of them again and again
+        word = np.r_[np.fromiter(map(xxhash.xxh64_intdigest, map(str.lower, words)), np.uint64, len(words)), word]
+        form = np.r_[np.fromiter(map(shape_code, map(shape, words)), np.uint64, len(words)), form]
 
         held = np.ones(len(distinct), np.int64)
         held[~whole] = np.fromiter(map(len, found), np.int64, len(found))
@@ -195,7 +199,7 @@ class Model:
 
     def _together(self, texts: list[str], words: int = 2, shapes: int = 3) -> np.ndarray:
         """Scores of a group of texts, the runs of a block of them in one array."""
-        t = Tokens.of(texts)
+        t = Tokens.of(texts, self.cache)
         total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         end = np.r_[0, np.cumsum(t.size)]
         for a, b in _blocks(t.size, BLOCK):
